@@ -44,12 +44,19 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docflow.llm import near_dedup
+
+    return near_dedup.grouped(_documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op4_pii": op4_pii,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_packing": op6_packing,
     "op8_quality": op8_quality,
+    "op9_minhash": op9_minhash,
 }
 
 ORACLES: dict[str, str] = {
