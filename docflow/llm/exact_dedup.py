@@ -145,7 +145,7 @@ def resolve(docs: DataFrame, keep: str = "smallest", text: str = "text", doc_id:
     runs = flush_runs(narrow, digest, bits, memtable)
     seen_twice = merged_filter(runs, bits)
     entries = runs.where("digest IS NOT NULL").select("doc_id", "seq", "digest")
-    index = compacted(runs, keep)
+    index = materialize(compacted(runs, keep), "dedup-index")  # as a table, so that the join below can be split at a digest with many rows
     # byte verification of the hits: copies combine in each task before their text is shuffled
     suspects = hits_of(narrow.select(F.col("text").alias("__text"), "doc_id"), seen_twice, digest, bits).select(F.col("__digest").alias("digest"), F.col("__text").alias("text"), "doc_id")
     texts = suspects.groupBy("digest", "text").agg(F.count("*").alias("n"))
