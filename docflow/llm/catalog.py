@@ -8,17 +8,29 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docflow.llm import licences
+
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docflow.llm import sharding
+
+    return sharding.sharded(_documents(spark, sf_dir))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docflow.llm import bpe
 
     return bpe.round_trip(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(_documents(spark, sf_dir))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docflow.llm import pii
 
@@ -56,17 +68,27 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.grouped(_documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docflow.llm import token_counts
+
+    return token_counts.counted(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sharding": op1_sharding,
     "op2_bpe": op2_bpe,
+    "op3_licences": op3_licences,
     "op4_pii": op4_pii,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_packing": op6_packing,
     "op7_lm_score": op7_lm_score,
     "op8_quality": op8_quality,
     "op9_minhash": op9_minhash,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLES: dict[str, str] = {
+    "op3_licences": licences.oracle(),
     "op5_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC) AS k FROM documents)
         SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, k = 1 AS kept, sha256(t) AS text_sha256 FROM d""",
