@@ -335,9 +335,9 @@ def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     """One row of each component, with the columns of docs: of the smallest doc_id. Only texts of components are shuffled."""
     found = materialize(grouped(docs, text, doc_id), "near-found")
     goes = found.where("row != first_row").select("text_key")
-    stays = found.where("row = first_row").select("text_key", F.col("doc_id").alias("__id")).distinct()
+    stays = found.where("row = first_row").select("text_key", F.col("doc_id").alias("__kept")).distinct()
     bits = _bits_of(goes)
     named = docs.select(F.xxhash64(text_of(text)).alias("__key"), F.struct(*docs.columns).alias("__row"))
-    same = _marked(named, bits, True).withColumn("__id", id_of(f"__row.{doc_id}")).join(stays, (F.col("__key") == F.col("text_key")) & F.col("__id").eqNullSafe(stays["__id"]), "left_semi")
+    same = _marked(named, bits, True).withColumn("__id", id_of(f"__row.{doc_id}")).join(stays, (F.col("__key") == F.col("text_key")) & F.col("__id").eqNullSafe(F.col("__kept")), "left_semi")
     single = same.groupBy("__key", "__id").agg(F.first("__row").alias("__row"))  # rows that tie in text and doc_id
     return _marked(named, bits, False).select("__row.*").unionByName(single.select("__row.*"))
