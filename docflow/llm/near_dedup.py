@@ -38,9 +38,9 @@ PERCENT = 75
 #: Bits of the filter of texts that are candidates: bounds what is broadcast (1 MiB).
 FILTER_BITS = 1 << 23
 #: Members of a tile, and bytes of its texts.
-TILE, TILE_BYTES = 1024, 8 << 20
+TILE, TILE_BYTES = 512, 4 << 20
 #: Rows that one copy of a leader's set serves.
-SERVED = 512
+SERVED = 128
 BATCH_BYTES = 4 << 20
 CACHE_WORDS = 300_000
 MIX = np.uint64(0x9E3779B97F4A7C15)  # odd, from the golden ratio
