@@ -14,8 +14,12 @@ BOOST_RANGE = 5
 #: Order of work kinds on one page; what is not listed comes last.
 WORK_ORDER = {"preview": 0, "page": 1, "annotation": 2, "text": 3}
 LAST_KIND, THUMBNAIL = "fontUsageCheck", "thumbnail"
-#: Words of an out-of-memory message.
-OUT_OF_MEMORY = r"(?i)out of memory|memory allocation|allocation failed|cannot enlarge memory|array buffer allocation"
+# What messages of exhausted memory contain.
+OUT_OF_MEMORY = ("out of memory", "allocation failed", "memory access out of bounds", "unreachable executed", "RuntimeError")
+
+
+def is_out_of_memory(message: Column) -> Column:
+    return F.coalesce(F.regexp_like(message, F.lit("(?i)" + "|".join(OUT_OF_MEMORY))), F.lit(False))
 
 
 def summary(ends: DataFrame, kind: str, duration: str) -> DataFrame:

@@ -39,12 +39,12 @@ def primary_page(slot0: Column, slot1: Column) -> Column:
     return F.coalesce(slot0, slot1, F.lit(1))
 
 
-def _pixels(points: Column, scale: float, dpi: float, ratio: float) -> Column:
+def _pixels(points: Column, scale: float | Column, dpi: float, ratio: float) -> Column:
     """Points to whole device pixels."""
     return half_up(points * (dpi / PT_PER_INCH) * scale * ratio)
 
 
-def _sized(pages: DataFrame, scale: float, dpi: float, user_rotation: int, ratio: float, crop: str | None = None) -> DataFrame:
+def _sized(pages: DataFrame, scale: float | Column, dpi: float, user_rotation: int, ratio: float, crop: str | None = None) -> DataFrame:
     width, height = F.col("width"), F.col("height")
     if crop == "vertical":
         height = F.coalesce("content_height", height)
@@ -54,7 +54,7 @@ def _sized(pages: DataFrame, scale: float, dpi: float, user_rotation: int, ratio
     return pages.withColumns({"w": _pixels(w, scale, dpi, ratio), "h": _pixels(h, scale, dpi, ratio)})
 
 
-def spread_layouts(pages: DataFrame, mode: str, scale: float = 1.0, page_spacing: float = 10, spread_spacing: float = 20, dpi: float = CSS_DPI, user_rotation: int = 0, ratio: float = 1.0, key: str = "doc_id") -> DataFrame:
+def spread_layouts(pages: DataFrame, mode: str, scale: float | Column = 1.0, page_spacing: float = 10, spread_spacing: float = 20, dpi: float = CSS_DPI, user_rotation: int = 0, ratio: float = 1.0, key: str = "doc_id") -> DataFrame:
     """key, spread_index, top, width, height. pages: key, page_index, width, height, rotation.
 
     Every size is rounded to device pixels before it is summed, so spreads meet without gaps. An empty slot is as wide as
@@ -143,11 +143,45 @@ def prerendered(focus: DataFrame, reach: int = 2, key: str = "doc_id") -> DataFr
     return every.where(F.col("target").between(0, F.col("page_count") - 1)).select(key, "page", "target", "rank")
 
 
-def fit_scale(page_width: Column, page_height: Column, view_width: Column, view_height: Column, mode: str, zoom: Column | None = None, dpi: float = CSS_DPI) -> Column:
-    """Scale of a zoom mode for the largest page: custom, fit-width, fit-height, fit-page or actual."""
-    points = dpi / PT_PER_INCH
-    by_width, by_height = view_width / (page_width * points), view_height / (page_height * points)
-    return {"custom": zoom if zoom is not None else F.lit(1.0), "fit-width": by_width, "fit-height": by_height, "fit-page": F.least(by_width, by_height), "actual": F.lit(1.0)}[mode]
+ZOOM_MODES = ("custom", "fit-spread-width", "fit-spread-width-max", "fit-spread-height", "fit-spread")
+
+
+def view_scales(pages: DataFrame, mode: str, zoom_mode: str, view_width: float, view_height: float, zoom: float = 1.0, continuous: bool = True, page_spacing: float = 10, spread_spacing: float = 20, scrollbar: float = 15.0, dpi: float = CSS_DPI, user_rotation: int = 0, ratio: float = 1.0, key: str = "doc_id") -> DataFrame:
+    """key, scale: what a zoom mode gives for the largest spread. Fitting the width leaves room for a scrollbar if one will show.
+
+    Whether one will is seen by laying all spreads out at the full width's scale: two aggregations and a join by document.
+    """
+    sizes = spread_layouts(pages, mode, 1.0, page_spacing, spread_spacing, dpi, user_rotation, ratio, key)
+    largest = sizes.groupBy(key).agg(F.max("width").alias("max_w"), F.max("height").alias("max_h"), F.count("*").alias("n"))
+    if zoom_mode == "custom":
+        return largest.select(key, F.lit(float(zoom)).alias("scale"))
+    snap = lambda v: float((v * ratio + 0.5) // 1) / ratio
+    width, height, gap = snap(view_width), snap(view_height), snap(spread_spacing)
+    target = F.lit(max(0.0, height - 2 * gap + 1))
+    if zoom_mode == "fit-spread-height":
+        return largest.select(key, (target / F.col("max_h")).alias("scale"))
+    if zoom_mode == "fit-spread":
+        return largest.select(key, F.least(width / F.col("max_w"), target / F.col("max_h")).alias("scale"))
+    full = largest.withColumn("full", width / F.col("max_w"))
+    if continuous:
+        again = spread_layouts(pages.join(full.select(key, "full"), key), mode, F.col("full"), page_spacing, spread_spacing, dpi, user_rotation, ratio, key)
+        full = full.join(again.groupBy(key).agg(F.sum("height").alias("total")), key).withColumn("needs", F.col("total") + gap * (F.col("n") + 1) > height)
+    else:
+        full = full.withColumn("needs", F.col("max_h") * F.col("full") + 2 * gap > height)
+    scale = F.when(F.col("needs") & F.lit(scrollbar > 0), (width - scrollbar) / F.col("max_w")).otherwise(F.col("full"))
+    return full.select(key, (F.least(scale, F.lit(1.0)) if zoom_mode == "fit-spread-width-max" else scale).alias("scale"))
+
+
+def visible_pages(spreads_: DataFrame, ranges: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, first_page, last_page (from 0) of the visible spreads; documents without a page in view are left out."""
+    seen = spreads_.join(ranges, key).where(F.col("spread_index").between(F.col("first_index"), F.col("last_index")))
+    return seen.groupBy(key).agg((F.min(F.least("slot0", "slot1")) - 1).alias("first_page"), (F.max(F.greatest("slot0", "slot1")) - 1).alias("last_page"))
+
+
+def layout_or_first(wanted: DataFrame, layouts: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The layout of each wanted spread; where it is not laid out, the document's first."""
+    first = layouts.groupBy(key).agg(F.min_by("top", "spread_index").alias("first_top"))
+    return wanted.join(layouts.select(key, "spread_index", "top"), [key, "spread_index"], "left").join(first, key).select(key, "spread_index", F.coalesce("top", "first_top").alias("top"))
 
 
 def scroll_target(top: Column, height: Column, scroll: Column, view: Column, content: Column, align: str) -> Column:

@@ -179,15 +179,13 @@ def region_crop(spark, sf_dir):
     return annotations(spark, sf_dir).select("ord", r.alias("r")).select("ord", "r.x", "r.y", "r.width", "r.height")
 
 
-@query("""WITH l AS (SELECT DISTINCT lang, source, lang || CASE event_type WHEN 'click' THEN '-XX' WHEN 'view' THEN '' WHEN 'error' THEN '-BR' ELSE '-CN' END AS locale FROM documents, (SELECT DISTINCT event_type FROM events)), x AS (SELECT DISTINCT locale FROM l UNION SELECT * FROM (VALUES ('zh-Hans'), ('zh-TW'), ('pt'), ('pt-PT'), ('it'), ('')))
+@query("""WITH l AS (SELECT DISTINCT lang || s AS locale FROM documents, (VALUES ('-XX'), (''), ('-BR'), ('-CN')) AS v(s)), x AS (SELECT locale FROM l UNION SELECT * FROM (VALUES ('zh-Hans'), ('zh-TW'), ('pt'), ('pt-PT'), ('it'), ('')))
     SELECT locale, CASE WHEN locale IN ('en', 'zh-CN', 'zh-TW', 'ja', 'ko', 'es', 'fr', 'de', 'pt-BR', 'ar', 'ru') THEN locale WHEN split_part(locale, '-', 1) = 'zh' THEN 'zh-CN' WHEN split_part(locale, '-', 1) = 'pt' THEN 'pt-BR' WHEN split_part(locale, '-', 1) IN ('en', 'ja', 'ko', 'es', 'fr', 'de', 'ar', 'ru') THEN split_part(locale, '-', 1) ELSE 'en' END AS resolved FROM x""")
 def locale_resolve(spark, sf_dir):
-    suffix = F.when(F.col("event_type") == "click", "-XX").when(F.col("event_type") == "view", "").when(F.col("event_type") == "error", "-BR").otherwise("-CN")
-    suffixes = table(spark, sf_dir, "events").select(suffix.alias("s")).distinct()
-    langs = table(spark, sf_dir, "documents").select("lang").distinct()
+    suffixes = F.array(*map(F.lit, ("-XX", "", "-BR", "-CN")))
+    locales = table(spark, sf_dir, "documents").select("lang").distinct().select(F.explode(F.transform(suffixes, lambda s: F.concat("lang", s))).alias("locale"))
     few = spark.createDataFrame([("zh-Hans",), ("zh-TW",), ("pt",), ("pt-PT",), ("it",), ("",)], "locale string")
-    locales = langs.join(suffixes).select(F.concat("lang", "s").alias("locale")).union(few).distinct()
-    return locales.select("locale", B.resolve_locale(F.col("locale")).alias("resolved"))
+    return locales.union(few).distinct().select("locale", B.resolve_locale(F.col("locale")).alias("resolved"))
 
 
 @query("SELECT event_id, 'Page ' || event_id || ' of ' || user_id || ' {other}' AS text FROM events")

@@ -148,11 +148,32 @@ def prerender_neighbors(spark, sf_dir):
     return L.prerendered(documents(spark, sf_dir).withColumn("page", F.col("doc_id") % F.col("page_count")))
 
 
-@query(f"""WITH {PAGES}, m AS (SELECT doc_id, max(width) AS w, max(height) AS h FROM pages GROUP BY 1)
-    SELECT doc_id, round(1000 / (w * 96 / 72), 6) AS fit_width, round(800 / (h * 96 / 72), 6) AS fit_height, round(least(1000 / (w * 96 / 72), 800 / (h * 96 / 72)), 6) AS fit_page FROM m""")
-def fit_scales(spark, sf_dir):
-    largest = pages(spark, sf_dir).groupBy("doc_id").agg(F.max("width").alias("w"), F.max("height").alias("h"))
-    return largest.select("doc_id", *(F.round(L.fit_scale(F.col("w"), F.col("h"), F.lit(1000.0), F.lit(800.0), m), 6).alias(m.replace("-", "_")) for m in ("fit-width", "fit-height", "fit-page")))
+_NATURAL = f"""{PAGES}, turned AS (SELECT *, CASE WHEN rotation IN (90, 270) THEN height ELSE width END AS tw, CASE WHEN rotation IN (90, 270) THEN width ELSE height END AS th FROM pages),
+    s1 AS (SELECT doc_id, page_index // 2 AS spread_index, sum(floor(tw * (96 / 72) + 0.5)) + CASE WHEN count(*) = 1 THEN min_by(floor(tw * (96 / 72) + 0.5), page_index) ELSE 0 END + 10 AS w, max(floor(th * (96 / 72) + 0.5)) AS h FROM turned GROUP BY 1, 2),
+    m AS (SELECT doc_id, max(w) AS w, max(h) AS h, count(*) AS n FROM s1 GROUP BY 1),
+    t AS (SELECT doc_id, sum(h) AS total FROM (SELECT turned.doc_id, page_index // 2 AS s, max(floor(th * (96 / 72) * (1200 / m.w) + 0.5)) AS h FROM turned JOIN m USING (doc_id) GROUP BY 1, 2) GROUP BY 1)"""
+
+
+@query(f"""WITH {_NATURAL} SELECT doc_id, round(least(CASE WHEN total + 20 * (n + 1) > 3000 THEN 1185 / w ELSE 1200 / w END, 1), 6) AS width_max, round(CASE WHEN h * 1200 / w + 40 > 3000 THEN 1185 / w ELSE 1200 / w END, 6) AS width_single,
+    round((3000 - 40 + 1) / h, 6) AS by_height, round(least(1200 / w, (3000 - 40 + 1) / h), 6) AS both_ways FROM m JOIN t USING (doc_id)""")
+def view_scales(spark, sf_dir):
+    of = lambda mode, name, **more: L.view_scales(pages(spark, sf_dir), "double", mode, 1200.0, 3000.0, **more).select("doc_id", F.round("scale", 6).alias(name))
+    joined = of("fit-spread-width-max", "width_max")
+    for other in (of("fit-spread-width", "width_single", continuous=False), of("fit-spread-height", "by_height"), of("fit-spread", "both_ways")):
+        joined = joined.join(other, "doc_id")
+    return joined
+
+
+@query(f"""WITH {LAYOUTS}, v AS (SELECT doc_id, spread_index FROM layouts WHERE spread_index BETWEEN 1 AND 2) SELECT doc_id, min(page_index) AS first_page, max(page_index) AS last_page FROM pages JOIN v USING (doc_id) WHERE page_index // 2 = spread_index GROUP BY 1""")
+def visible_pages(spark, sf_dir):
+    ranges = documents(spark, sf_dir).select("doc_id", F.lit(1).alias("first_index"), F.lit(2).alias("last_index"))
+    return L.visible_pages(L.spreads(documents(spark, sf_dir), "double"), ranges)
+
+
+@query(f"""WITH {LAYOUTS}, f AS (SELECT doc_id, arg_min(top, spread_index) AS first FROM layouts GROUP BY 1) SELECT d.doc_id, doc_id % 5 AS spread_index, coalesce(l.top, f.first) AS top FROM (SELECT DISTINCT l_orderkey AS doc_id FROM lineitem) d JOIN f USING (doc_id) LEFT JOIN layouts l ON l.doc_id = d.doc_id AND l.spread_index = d.doc_id % 5""")
+def layout_or_first(spark, sf_dir):
+    wanted = documents(spark, sf_dir).select("doc_id", (F.col("doc_id") % 5).alias("spread_index"))
+    return L.layout_or_first(wanted, layouts(spark, sf_dir))
 
 
 @query(f"""WITH {LAYOUTS} SELECT doc_id, spread_index, greatest(least(CASE WHEN top < 900 THEN top WHEN top + height > 1700 THEN top + height - 800 ELSE 900 END, 8000 - 800), 0) AS nearest, greatest(least(top + height / 2 - 400, 7200), 0) AS center FROM layouts""")

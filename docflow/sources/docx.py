@@ -480,6 +480,20 @@ class Docx:
         """Archives that are documents: those with a main part."""
         return self.parts.where("part = 'word/document.xml'").select("doc_id").distinct()
 
+    def formats(self) -> DataFrame:
+        """What each archive holds, by the folders of its parts: docx, pptx, xlsx or unknown."""
+        holds = lambda folder: F.max(F.startswith("part", F.lit(folder)))
+        kind = F.when(holds("word/"), "docx").when(holds("ppt/"), "pptx").when(holds("xl/"), "xlsx").otherwise("unknown")
+        return self.parts.groupBy("doc_id").agg(kind.alias("format"))
+
+    def cell_margins(self) -> DataFrame:
+        """Margins (twips) of each table's cells: its own, then those of its style and the styles that is based on; 0, 108, 0, 108 where none says."""
+        sides = {"top": 0, "left": 108, "bottom": 0, "right": 108}
+        styles = self.table("style").where("NOT is_default").select("doc_id", "style_id", "based_on", *(F.try_element_at("margins", F.lit(s)).alias(s) for s in sides))
+        inherited = structure.inherited(styles, list(sides), "doc_id", "style_id", "based_on").select("doc_id", "style_id", *(F.col(s).alias(f"__{s}") for s in sides))
+        tables = self.table("table").join(inherited, ["doc_id", "style_id"], "left")
+        return tables.select("doc_id", "part", "table_no", *(F.coalesce(F.try_element_at("margins", F.lit(s)), F.col(f"__{s}"), F.lit(v)).alias(s) for s, v in sides.items()))
+
     def geometry(self) -> DataFrame:
         """Page size, margins and number of the first page, with defaults where a document names none."""
         named = self.rows.where("kind = 'geometry'").select("doc_id", F.from_json("payload", SCHEMAS["geometry"]).alias("r")).select("doc_id", "r.*").groupBy("doc_id").agg(*(F.first(c, True).alias(c) for c in PAGE))

@@ -66,3 +66,12 @@ def test_not_documents(spark):
 def test_font_key():
     assert deobfuscated(b"abcd", "not a key") == b"abcd"
     assert deobfuscated(b"\x01", "01" * 16) == b"\x00"
+
+
+def test_formats_and_margins(spark):
+    styled = STYLES.replace("</w:styles>", '<w:style w:styleId="T0"><w:tblPr><w:tblCellMar><w:top w:w="5"/><w:left w:w="7"/></w:tblCellMar></w:tblPr></w:style><w:style w:styleId="T1"><w:basedOn w:val="T0"/><w:tblPr><w:tblCellMar><w:left w:w="9"/></w:tblCellMar></w:tblPr></w:style></w:styles>')
+    document = DOCUMENT.replace("<w:tblPr>", '<w:tblPr><w:tblStyle w:val="T1"/>')
+    docx = Docx(spark.createDataFrame([("a", bytearray(archive(**{"word/styles.xml": styled, "word/document.xml": document})))], "doc_id string, content binary"))
+    margins = docx.cell_margins().first()
+    assert (margins.top, margins.left, margins.bottom, margins.right) == (5, 9, 0, 108)
+    assert [r.format for r in docx.formats().collect()] == ["docx"]
