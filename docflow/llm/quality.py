@@ -12,6 +12,7 @@ null or unknown language gets the band of its script; repeated rows are judged a
 
 from __future__ import annotations
 
+import itertools
 from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
@@ -22,12 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docflow.llm.shared import arrow_schema, id_of, slices, table_of, text_of
+from docflow.llm.shared import arrow_schema, id_of, slices, table_of, text_of, tidy
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\v\f\r"
 BATCH_BYTES = 4 << 20
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 
 
@@ -83,26 +84,23 @@ class Fertility:
 
     def forget(self) -> None:
         self.index: dict[bytes, int] = {}
-        self.ids: list[list[int]] = []
         self.pool, self.offsets = np.empty(0, np.int32), np.zeros(1, np.int64)
 
-    def words(self, words: list[bytes]) -> np.ndarray:
-        """The words' numbers in the cache."""
+    def learn(self, words: set[bytes]) -> None:
+        """Adds the words that are not known yet, all at once."""
         if len(self.index) > CACHE_WORDS:
             self.forget()
-        numbers = list(map(self.index.get, words))
-        if None in numbers:
-            new = list({w: None for w, k in zip(words, numbers) if k is None})
-            for w, ids in zip(new, self.model.encode([w.decode() for w in new], num_threads=1)):
-                self.index[w] = len(self.ids)
-                self.ids.append(ids)
-            numbers = list(map(self.index.get, words))
-        if len(self.offsets) <= len(self.ids):
-            fresh = self.ids[len(self.offsets) - 1 :]
-            self.pool = self.pool[: self.offsets[-1]]
-            self.pool = np.concatenate([self.pool, np.fromiter((i for x in fresh for i in x), np.int32)])
-            self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum([len(x) for x in fresh])])
-        return np.array(numbers, np.int64)
+        new = [w for w in words if w not in self.index]
+        if not new:
+            return
+        found = self.model.encode([w.decode("utf-8", "surrogatepass") for w in new], num_threads=1)
+        self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
+        self.pool = np.concatenate([self.pool, np.fromiter(itertools.chain.from_iterable(found), np.int32)])
+        self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))])
+
+    def words(self, words: list[bytes]) -> np.ndarray:
+        """The numbers of words that have been learnt."""
+        return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
 
     def tokens(self, numbers: np.ndarray) -> np.ndarray:
         counts = self.offsets[numbers + 1] - self.offsets[numbers]
@@ -139,9 +137,19 @@ def repeated_words(numbers: np.ndarray) -> int:
     return int(marked.sum())
 
 
+def judged_all(texts: list[str], langs: list[str | None], vocabulary: Fertility) -> list[tuple]:
+    """MEASURES without doc_id for each text of a batch."""
+    split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
+    vocabulary.learn(set(itertools.chain.from_iterable(split)))
+    return [_judged(t, w, g, vocabulary) for t, w, g in zip(texts, split, langs)]
+
+
 def judged(text: str, lang: str | None, vocabulary: Fertility) -> tuple:
+    return judged_all([text], [lang], vocabulary)[0]
+
+
+def _judged(text: str, words: list[bytes], lang: str | None, vocabulary: Fertility) -> tuple:
     raw = text.encode("utf-8", "surrogatepass")
-    words = raw.split()
     n = len(words)
     word_chars = len(text) - (len(raw) - len(raw.translate(None, SPACES)))
     n_symbols = len(raw) - len(raw.translate(None, SYMBOLS))
@@ -167,11 +175,11 @@ def measure(docs: DataFrame, vocabulary_path: str, text: str = "text", doc_id: s
         vocabulary = fertility(vocabulary_path)
         for whole in batches:
             for batch in slices(whole, "text", BATCH_BYTES):
-                rows = [judged(t, g, vocabulary) for t, g in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist())]
+                rows = judged_all(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), vocabulary)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, f.type) for x, f in zip(zip(*rows), list(arrow)[1:]))], schema=arrow)
 
     language = F.col(lang).cast("string") if lang in docs.columns else F.lit(None).cast("string")
-    return docs.select(id_of(doc_id).alias("doc_id"), text_of(text).alias("text"), language.alias("lang")).mapInArrow(run, MEASURES)
+    return docs.select(id_of(doc_id).alias("doc_id"), text_of(text).alias("text"), language.alias("lang")).mapInArrow(tidy(run, fertility.cache_clear), MEASURES)
 
 
 def keep(docs: DataFrame, vocabulary_path: str, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -184,6 +192,6 @@ def keep(docs: DataFrame, vocabulary_path: str, text: str = "text", lang: str =
             for batch in slices(whole, "__text", BATCH_BYTES):
                 column = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
                 langs = column[lang].to_pylist() if lang in column else [None] * batch.num_rows
-                yield batch.filter(pa.array([judged(t, g, vocabulary)[6] for t, g in zip(column["__text"].to_pylist(), langs)], pa.bool_()))
+                yield batch.filter(pa.array([r[6] for r in judged_all(column["__text"].to_pylist(), langs, vocabulary)], pa.bool_()))
 
-    return docs.withColumn("__text", text_of(text)).mapInArrow(run, schema).drop("__text")
+    return docs.withColumn("__text", text_of(text)).mapInArrow(tidy(run, fertility.cache_clear), schema).drop("__text")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import itertools
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -13,17 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Only where the session names none (unit tests on one machine) a local folder is chosen and set.
-    """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="docflow-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+from docflow.sources.storage import shared_root
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -81,6 +73,26 @@ def chunks(rows: Iterator, n: int) -> Iterator[list]:
 _TYPES = {"long": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "binary": T.BinaryType(), "double": T.DoubleType(), "float": T.FloatType(), "boolean": T.BooleanType(), "array<int>": T.ArrayType(T.IntegerType()), "array<long>": T.ArrayType(T.LongType())}
 
 
+def tidy(run, *forget):
+    """run (batches -> batches), after which its caches are forgotten and freed memory goes back to the system.
+
+    Python workers live on between tasks; what an earlier operator has kept must not add to what a later one needs.
+    """
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            for clear in forget:
+                clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
+
+
 def table_of(columns: str) -> T.StructType:
     """A schema from "name type, ..."; unlike DDL parsing it needs no session, so workers can import modules that use it."""
     return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (c.split() for c in columns.split(", "))])
