@@ -27,7 +27,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from docflow.llm.shared import arrow_schema, id_of, slices, table_of, text_of
+from docflow.llm.shared import arrow_schema, id_of, slices, table_of, text_of, tidy
 
 LETTER, NUMBER, SPACE, BLANK, SYMBOL, QUOTE = range(6)
 # The code points with the Unicode property White_Space, as inclusive ranges.
@@ -238,7 +238,7 @@ def encode(docs: DataFrame, ranks_path: str, text: str = "text", doc_id: str = "
                     ends.append(np.cumsum([len(x[0]) for x in got]).astype(np.int32).tolist())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.list_(pa.int32())) for x in (ids, starts, ends))], schema=arrow)
 
-    return docs.select(id_of(doc_id).alias("doc_id"), text_of(text).alias("text")).mapInArrow(run, schema)
+    return docs.select(id_of(doc_id).alias("doc_id"), text_of(text).alias("text")).mapInArrow(tidy(run, codec.cache_clear), schema)
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
@@ -251,7 +251,7 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([coder.decode(x or []) for x in batch.column("ids").to_pylist()], pa.binary())], schema=arrow)
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, schema)
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(run, codec.cache_clear), schema)
 
 
 def round_trip(docs: DataFrame, ranks_path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -270,4 +270,4 @@ def round_trip(docs: DataFrame, ranks_path: str, text: str = "text", doc_id: str
                     rows.append((len(ids), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(coder.decode(ids)).hexdigest(), len(offsets)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, f.type) for x, f in zip(zip(*rows), list(arrow)[1:]))], schema=arrow)
 
-    return docs.select(id_of(doc_id).alias("doc_id"), text_of(text).alias("text")).mapInArrow(run, schema)
+    return docs.select(id_of(doc_id).alias("doc_id"), text_of(text).alias("text")).mapInArrow(tidy(run, codec.cache_clear), schema)

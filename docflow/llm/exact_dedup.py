@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docflow.llm.shared import arrow_schema, id_of, materialize, slices, table_of, text_of
+from docflow.llm.shared import arrow_schema, id_of, materialize, slices, table_of, text_of, tidy
 
 #: Bits of each map of the filter; it bounds what is sent to the driver and the executors (two maps: 2 x 512 KiB).
 FILTER_BITS = 1 << 22
@@ -83,7 +83,7 @@ def flush_runs(docs: DataFrame, digest=sha256_digest, bits: int = FILTER_BITS, m
             null = pa.nulls(1, pa.int64())
             yield pa.RecordBatch.from_arrays([null, null, null, pa.nulls(1, pa.binary()), *(pa.array([np.packbits(x).tobytes()], pa.binary()) for x in (once, twice))], schema=arrow)
 
-    return materialize(docs.mapInArrow(run, RUNS), "dedup-runs")
+    return materialize(docs.mapInArrow(tidy(run), RUNS), "dedup-runs")
 
 
 def merged_filter(runs: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
@@ -127,7 +127,7 @@ def hits_of(docs: DataFrame, seen_twice: np.ndarray, digest=sha256_digest, bits:
                 if marked.any():
                     yield got.filter(pa.array(marked))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def compacted(runs: DataFrame, keep: str = "smallest") -> DataFrame:

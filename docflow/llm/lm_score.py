@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docflow.llm.shared import arrow_schema, id_of, materialize, slices, table_of, text_of
+from docflow.llm.shared import arrow_schema, id_of, materialize, slices, table_of, text_of, tidy
 
 ORDER = 3
 FOLDS, HELD_OUT = 5, 1
@@ -116,7 +116,7 @@ def blocks(docs: DataFrame) -> DataFrame:
                 part = slice(at, at + (1 << 17))
                 yield table(block, GRAM, len(keys[part]), gram=pa.array(keys[part].astype(np.int64)), n=pa.array(numbers[part].astype(np.int64)))
 
-    return materialize(docs.mapInArrow(run, BLOCKS), "lm-blocks")
+    return materialize(docs.mapInArrow(tidy(run), BLOCKS), "lm-blocks")
 
 
 def code_lengths(grams: DataFrame) -> DataFrame:
@@ -229,4 +229,4 @@ def scored(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
                             rows.append((doc, held_out(doc), len(c), int((c > 0).sum()), total, float((np.log10(c + 0.5) - unseen).sum()), score, len(text)))
                         yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), arrow)], schema=arrow)
 
-    return dealt.mapInArrow(run, SCORES)
+    return dealt.mapInArrow(tidy(run), SCORES)

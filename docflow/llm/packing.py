@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docflow.llm.shared import arrow_schema, id_of, materialize, slices, table_of, text_of
+from docflow.llm.shared import arrow_schema, id_of, materialize, slices, table_of, text_of, tidy
 
 LENGTH = 2048
 BATCH_BYTES = 4 << 20
@@ -57,7 +57,7 @@ def tokenised(docs: DataFrame, ranks_path: str, pattern: str, end_id: int) -> Da
                     at += len(got)
                 yield pa.RecordBatch.from_arrays([pa.array([part] * len(ids), pa.int64()), pa.array(starts, pa.int64()), batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())], schema=arrow)
 
-    return materialize(docs.mapInArrow(run, STREAM), "packing-stream")
+    return materialize(docs.mapInArrow(tidy(run, encoder.cache_clear), STREAM), "packing-stream")
 
 
 def pack(docs: DataFrame, ranks_path: str, pattern: str, length: int = LENGTH, end_id: int = 1, text: str = "text", doc_id: str = "doc_id", with_ids: bool = False) -> DataFrame:
@@ -87,7 +87,7 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, length: int = LENGTH, e
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), arrow)], schema=arrow)
 
-    return stream.mapInArrow(run, schema)
+    return stream.mapInArrow(tidy(run), schema)
 
 
 def sequences(pieces: DataFrame) -> DataFrame:

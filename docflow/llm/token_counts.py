@@ -21,7 +21,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from docflow.llm.shared import arrow_schema, id_of, slices, table_of, text_of
+from docflow.llm.shared import arrow_schema, id_of, slices, table_of, text_of, tidy
 
 MARK = "▁"
 BATCH_BYTES = 8 << 20
@@ -101,4 +101,4 @@ def counted(docs: DataFrame, vocabulary_path: str, text: str = "text", doc_id: s
                 rows = model.count(batch.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in zip(*rows))], schema=arrow)
 
-    return docs.select(id_of(doc_id).alias("doc_id"), text_of(text).alias("text")).mapInArrow(run, COUNTS)
+    return docs.select(id_of(doc_id).alias("doc_id"), text_of(text).alias("text")).mapInArrow(tidy(run, trie.cache_clear), COUNTS)
