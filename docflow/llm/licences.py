@@ -84,7 +84,7 @@ RULES = (
     ("All-rights-reserved", ("AR1",)),
 )
 #: Every known sentence holds one of these; a text without any has no known sentence. Small letters or all capitals and mixed alike.
-CUES = ("licen", "permi", "redistribut", "software", "rights reserved", "copyright", "gnu")
+CUES = ("licen", "permi", "redistribut", "software", "rights reserved", "copyright", "gnu", "warrant")
 BREAK = "\u0001"
 #: Replacements that mark where sentences end; groups keep what stays.
 BREAKS = (

@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -255,6 +256,59 @@ def test_op4_terms(spark):
     assert all(clean[i] == t for i, t in rows if 100 <= i < 200)
 
 
+def pii_brute(rows, alpha, least):
+    """All spans of each row, from base spans, windows of words around them, and counts over all rows."""
+    term = regex.compile(pii.TERM)
+    base, near, mentioned, entities = {}, [], [], Counter()
+    for k, (_, text) in enumerate(rows):
+        text = text or ""
+        base[k] = base_spans(text)
+        held = set()
+        for begin, rank, end, kind in base[k]:
+            value = text[begin:end]
+            entity = f"{rank}:{value.lower() if kind == 'email' else value if kind == 'ip' else re.sub('[^0-9]', '', value)}"
+            held.add(entity)
+            start = max(begin - pii.WINDOW, 0)
+            before, after = text[start:begin], text[end : end + pii.WINDOW]
+            if start:
+                cut = re.sub(r"^[^ \t-\r]+", "", before)
+                start, before = start + len(before) - len(cut), cut
+            if len(after) == pii.WINDOW:
+                after = re.sub(r"[^ \t-\r]+$", "", after)
+            for piece, at in ((before, start), (after, end)):
+                near += [(entity, m.group().lower(), k, (before.lower(), after.lower()), at + m.start(), at + m.end()) for m in term.finditer(piece)]
+        entities.update(held)
+    together, contexts = defaultdict(set), defaultdict(set)
+    for entity, word, k, context, *_ in near:
+        together[entity, word].add(k)
+        contexts[entity, word].add(context)
+    words = Counter(w for _, text in rows for w in {m.group().lower() for m in term.finditer(text or "")})
+    n = len(rows)
+    found = {p for p, ks in together.items() if len(ks) >= least and len(contexts[p]) >= least and (own := math.log2(n / entities[p[0]])) > 0 and math.log2(len(ks) * n / (entities[p[0]] * words[p[1]])) >= alpha * own}
+    for k, (doc_id, _) in enumerate(rows):
+        terms = {(a, 4, b, "term") for e, w, r, _, a, b in near if r == k and (e, w) in found}
+        yield doc_id, ",".join(f"{kind}:{a}:{b}" for a, _, b, kind in sorted([*base[k], *terms]))
+
+
+@pytest.mark.parametrize("alpha, least", [(0.9, 3), (0.4, 2)])
+def test_op4_spans(spark, alpha, least):
+    rnd = random.Random(11)
+    common, rare = ["the", "and", "with", "From", "that", "Über", "mot-clé"], [f"Name{c}" for c in "abcdefgh"]
+    values = ["a@b.org", "10.0.0.1", "4111 1111 1111 1111", "+1 (743) 555-3824"]
+    rows = []
+    for i in range(160):
+        words = [rnd.choice(common if rnd.random() < 0.8 else rare[4:]) + rnd.choice(["", "", ",", "."]) for _ in range(rnd.randrange(40))]
+        for _ in range(rnd.choice([0, 0, 1, 2])):
+            v = rnd.randrange(4)
+            at = rnd.randrange(len(words) + 1)
+            words[at:at] = [rare[v], values[v], rare[4 + (v + i) % 4]]
+        rows.append((i, " ".join(words)))
+    rows += [rows[0], (500, None), (501, "")]
+    got = keyed(pii.spans_of(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), alpha=alpha, min_contexts=least), "doc_id", "spans")
+    want = Counter(pii_brute(rows, alpha, least))
+    assert got == want and any("term" in s for _, s in want)
+
+
 # 5 ---------------------------------------------------------------------------------------------------------------
 
 
