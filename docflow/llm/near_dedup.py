@@ -19,8 +19,6 @@ alone (component_id null, kept) only if its component has no doc_id; an empty ta
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -29,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docflow.llm.components import components
-from docflow.llm.shared import arrow_schema, id_of, materialize, slices, table_of, text_of
+from docflow.llm.shared import arrow_schema, id_of, materialize, slices, table_of, text_of, tidy
 
 WORDS = 5
 BANDS, ROWS = 32, 4
@@ -42,7 +40,6 @@ TILE, TILE_BYTES = 512, 4 << 20
 #: Rows that one copy of a leader's set serves.
 SERVED = 128
 BATCH_BYTES = 4 << 20
-CACHE_WORDS = 300_000
 MIX = np.uint64(0x9E3779B97F4A7C15)  # odd, from the golden ratio
 _random = np.random.default_rng(20)
 FACTORS = _random.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -51,11 +48,6 @@ TERMS = _random.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 SIGNED = table_of("row long, doc_id long, n_shingles long, text_key long, set_key binary, signature binary")
 
 
-@lru_cache(1)
-def _word_cache() -> dict[bytes, int]:
-    return {}
-
-
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * MIX
     return h ^ (h >> np.uint64(29))
@@ -66,16 +58,7 @@ def shingle_set(text: str) -> np.ndarray:
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    cache = _word_cache()
-    if len(cache) > CACHE_WORDS:
-        cache.clear()
-    numbers = list(map(cache.get, words))
-    if None in numbers:
-        digest = xxhash.xxh3_64_intdigest
-        for i, n in enumerate(numbers):
-            if n is None:
-                numbers[i] = cache[words[i]] = digest(words[i])
-    hashes = np.array(numbers, np.uint64)
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     size = min(WORDS, len(words))
     total = np.full(len(words) - size + 1, size, np.uint64)
     for k in range(size):
@@ -126,7 +109,7 @@ def signed(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(range(number, number + n), pa.int64()), batch.column("doc_id"), pa.array(sizes, pa.int64()), batch.column("text_key"), pa.array(sets, pa.binary()), pa.array(signatures, pa.binary())], schema=arrow)
                 number += n
 
-    return materialize(docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, SIGNED), "near-signed")
+    return materialize(docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(tidy(run), SIGNED), "near-signed")
 
 
 def banded(classes: DataFrame) -> DataFrame:
@@ -171,7 +154,7 @@ def _marked(docs: DataFrame, bits: bytes, inside: bool) -> DataFrame:
             if mask.any():
                 yield pa.RecordBatch.from_arrays(batch.columns, schema=arrow).filter(pa.array(mask))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def candidate_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -204,7 +187,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=arrow)
 
     dealt = members.unionByName(leaders).repartition("leader", "share").sortWithinPartitions("leader", "share", "member")
-    return materialize(dealt.mapInArrow(run, schema), "near-links")
+    return materialize(dealt.mapInArrow(tidy(run), schema), "near-links")
 
 
 def _labelled(frame: DataFrame, labels: DataFrame, node: str, root: str) -> DataFrame:
@@ -218,30 +201,42 @@ def _tiles(members: DataFrame, count: DataFrame) -> DataFrame:
     return dealt.select(*members.columns, F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), side.alias("side"))
 
 
-def _groups(batches):
-    """Runs of rows with equal (key, i, j), which arrive side by side; columns as lists."""
+def _groups(batches, largest: str):
+    """Runs of rows with equal (key, i, j), which arrive side by side; a batch is read in slices by its largest column."""
     current, rows = None, []
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if row[:3] != current:
-                if rows:
-                    yield rows
-                current, rows = row[:3], []
-            rows.append(row[3:])
+    for whole in batches:
+        for batch in slices(whole, largest, BATCH_BYTES):
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[:3] != current:
+                    if rows:
+                        yield rows
+                    current, rows = row[:3], []
+                rows.append(row[3:])
     if rows:
         yield rows
 
 
-def _agreeing(rows: list, block: int = 64):
+def _agreements(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many minima agree, for all pairs of rows. Of each minimum one byte is compared: a chance agreement in 256 can only add."""
+    if len(a) * len(b) <= 512:
+        return (a[:, None, :] == b[None, :, :]).sum(axis=2)
+    total, same = np.zeros((len(a), len(b)), np.uint8), np.empty((len(a), len(b)), bool)
+    for x, y in zip(np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)):
+        np.equal(x[:, None], y[None, :], out=same)
+        np.add(total, same.view(np.uint8), out=total)
+    return total
+
+
+def _agreeing(rows: list, block: int = 128):
     """For rows (side, node, root, signature, ...) yields indices (x, y) of pairs of different roots whose minima agree in half."""
-    signatures = np.frombuffer(b"".join(r[3] for r in rows), "<u4").reshape(len(rows), -1)
+    signatures = np.frombuffer(b"".join(r[3] for r in rows), "<u4").reshape(len(rows), -1).astype(np.uint8)
     side, root = np.array([r[0] for r in rows]), np.array([r[2] for r in rows], np.int64)
     left = np.flatnonzero(side != 1)
     right = np.flatnonzero(side != 0)
     for at in range(0, len(left), block):
         mine = left[at : at + block]
-        same = (signatures[mine][:, None, :] == signatures[right][None, :, :]).sum(axis=2)
-        x, y = np.nonzero((2 * same >= signatures.shape[1]) & (root[mine][:, None] != root[right][None, :]))
+        same = _agreements(signatures[mine], signatures[right])
+        x, y = np.nonzero((same >= signatures.shape[1] // 2) & (root[mine][:, None] != root[right][None, :]))
         yield from zip(mine[x].tolist(), right[y].tolist())
 
 
@@ -255,14 +250,14 @@ def tiled_links(buckets: DataFrame, classes: DataFrame, labels: DataFrame, texts
     arrow = arrow_schema(found)
 
     def screen(batches):
-        for rows in _groups(batches):
+        for rows in _groups(batches, "signature"):
             nodes = sorted({i for pair in _agreeing(rows) for i in pair})
             if nodes:
                 yield pa.RecordBatch.from_arrays([pa.array([rows[0][4]] * len(nodes), pa.int64()), pa.array([rows[i][1] for i in nodes], pa.int64())], schema=arrow)
 
     order = ["key", "i", "j"]
     screened = _tiles(members, count).repartition(*order).sortWithinPartitions(*order)
-    suspects = materialize(screened.select("key", "i", "j", "side", "node", "root", "signature", F.col("key").alias("k")).mapInArrow(screen, found).distinct(), "near-suspects")
+    suspects = materialize(screened.select("key", "i", "j", "side", "node", "root", "signature", F.col("key").alias("k")).mapInArrow(tidy(screen), found).distinct(), "near-suspects")
     sized = suspects.join(texts.select("node", F.length("text").alias("size")), "node").groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
     again = materialize(sized.select("key", F.greatest(F.ceil(F.col("n") / TILE), F.ceil(F.col("size") / TILE_BYTES)).cast("int").alias("tiles")), "near-again")
     held = _labelled(suspects, labels, "node", "root").join(classes.select("node", "signature"), "node").join(texts, "node").select("key", "node", "root", "signature", "text")
@@ -270,7 +265,7 @@ def tiled_links(buckets: DataFrame, classes: DataFrame, labels: DataFrame, texts
     links = arrow_schema(schema)
 
     def compare(batches):
-        for rows in _groups(batches):
+        for rows in _groups(batches, "text"):
             sets: dict[int, np.ndarray] = {}
             parent: dict[int, int] = {}
 
@@ -295,7 +290,7 @@ def tiled_links(buckets: DataFrame, classes: DataFrame, labels: DataFrame, texts
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=links)
 
     dealt = _tiles(held, again).repartition(*order).sortWithinPartitions(*order).select("key", "i", "j", "side", "node", "root", "signature", "text")
-    return materialize(dealt.mapInArrow(compare, schema), "near-tile-links")
+    return materialize(dealt.mapInArrow(tidy(compare), schema), "near-tile-links")
 
 
 def grouped(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
