@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 
 KEY = ["doc_id", "page", "name"]
 THREAD_DEPTH = 3
-#: Kinds by the geometry that moves with their bounds.
-POINT_KINDS = {"line": ("start_point", "end_point"), "polygon": ("vertices",), "polyLine": ("vertices",), "ink": ("ink",), "highlight": ("quads",), "underline": ("quads",), "strikeOut": ("quads",), "squiggly": ("quads",), "redact": ("quads",), "freeText": ("callout",)}
 MIN_SIZE = 2.0
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docflow.functions.labels import heading_level, image_format, is_zip
+from docflow.functions.labels import ALIGN, BORDER, heading_level, image_format, is_zip
 from docflow.operators import structure
 
 TWIPS, HALF_POINTS = 20.0, 2.0
@@ -121,10 +121,6 @@ def _color(text: str | None) -> str | None:
     return text.upper() if text and len(text) == 6 and all(c in "0123456789abcdefABCDEF" for c in text) else None
 
 
-_ALIGN = {"center": "center", "right": "right", "end": "right", "both": "justify", "distribute": "justify", "justify": "justify"}
-_BORDER = {k: v for v, ks in {"single": ("single", "thick", "thinThickSmallGap", "thickThinSmallGap"), "double": ("double", "triple"), "dashed": ("dashed", "dashSmallGap", "dashDot", "dashDotDot"), "dotted": ("dotted", "dotDash", "dotDotDash")}.items() for k in ks}
-
-
 def properties_of(node: Node) -> dict:
     """What one property element sets."""
     tag, a = node.tag, node.attrs
@@ -141,7 +137,7 @@ def properties_of(node: Node) -> dict:
     if tag == "w:rFonts" and (name := a.get("w:ascii") or a.get("w:hAnsi") or a.get("w:cs")):
         return {"font": name}
     if tag == "w:jc" and node.value() is not None:
-        return {"align": _ALIGN.get(node.value(), "left")}
+        return {"align": ALIGN.get(node.value(), "left")}
     if tag == "w:outlineLvl" and (v := _int(node.value())) is not None:
         return {"outline_level": v}
     if tag == "w:spacing":
@@ -168,7 +164,7 @@ def _sides(node: Node | None) -> dict[str, int]:
 
 def _borders(node: Node | None) -> dict[str, str]:
     """Side -> "style:eighths of a point:colour"."""
-    return {s.tag[2:]: f"{_BORDER.get(s.value() or '', 'none')}:{_int(s.attrs.get('w:sz')) or 0}:{_color(s.attrs.get('w:color')) or '000000'}" for s in (node.children if node else ()) if isinstance(s, Node)}
+    return {s.tag[2:]: f"{BORDER.get(s.value() or '', 'none')}:{_int(s.attrs.get('w:sz')) or 0}:{_color(s.attrs.get('w:color')) or '000000'}" for s in (node.children if node else ()) if isinstance(s, Node)}
 
 
 # parts ------------------------------------------------------------------------------------------------------------
@@ -353,6 +349,7 @@ def _styles(root: Node) -> Iterator[tuple[str, dict]]:
         yield "style", {k: v for k, v in {**row, **own}.items() if v is not None}
 
 
+# The number formats that labels know.
 _FORMATS = ("decimal", "lowerLetter", "upperLetter", "lowerRoman", "upperRoman", "bullet", "none")
 
 
