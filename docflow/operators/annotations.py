@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from docflow.sources.storage import materialize
+
 KEY = ["doc_id", "page", "name"]
 THREAD_DEPTH = 3
 MIN_SIZE = 2.0
@@ -110,11 +112,12 @@ def replies(comments: DataFrame, deepest: int = 64) -> DataFrame:
     missing parents) is left out.
     """
     rows = comments.select("doc_id", "name", "parent_name")
-    now = rows.select("doc_id", "name", F.coalesce("parent_name", "name").alias("up"), F.when(F.col("parent_name").isNull(), 0).otherwise(1).alias("depth"))
+    now = materialize(rows.select("doc_id", "name", F.coalesce("parent_name", "name").alias("up"), F.when(F.col("parent_name").isNull(), 0).otherwise(1).alias("depth")), "threads")
     reach = 1
     while reach < deepest:
         far = now.select(F.col("doc_id").alias("__d"), F.col("name").alias("__n"), F.col("up").alias("__up"), F.col("depth").alias("__depth"))
         now = now.join(far, (F.col("doc_id") == F.col("__d")) & (F.col("up") == F.col("__n"))).select("doc_id", "name", F.col("__up").alias("up"), (F.col("depth") + F.col("__depth")).alias("depth"))
+        now = materialize(now, "threads")  # the next join reads it twice
         reach *= 2
     roots = rows.where("parent_name IS NULL").select("doc_id", F.col("name").alias("up"))
     return now.join(roots, ["doc_id", "up"], "left_semi").select("doc_id", "name", F.col("up").alias("thread"), "depth", F.least("depth", F.lit(THREAD_DEPTH)).alias("shown_depth"))

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docflow.functions.labels import list_label
+from docflow.sources.storage import materialize
 
 LEVELS = 9
 #: Styles in a chain of inheritance at most, the first one included: 2 to the power of DOUBLINGS, and one.
@@ -53,9 +54,10 @@ def outline(headings: DataFrame, doc: str = "doc_id", order: str = "idx", level:
 def inherited(styles: DataFrame, properties: list[str], doc: str = "doc_id", style: str = "style_id", base: str = "based_on") -> DataFrame:
     """Every style with its properties filled from its bases, the nearest first; a missing base ends the chain.
 
-    After k joins a style knows 2^k of its chain and points past them, so cycles end too.
+    After k joins a style knows 2^k of its chain and points past them, so cycles end too. Every join's result is a table, for
+    the next one reads it twice.
     """
-    own = styles.select(doc, style, *properties, base)
+    own = materialize(styles.select(doc, style, *properties, base), "styles")
     now = own
     for step in range(DOUBLINGS + 1):
         # the last step adds one more style, so that 33 count in all
@@ -63,6 +65,7 @@ def inherited(styles: DataFrame, properties: list[str], doc: str = "doc_id", sty
         upper = source.select(F.col(doc).alias("__d"), F.col(style).alias("__s"), *(F.col(p).alias(f"__{p}") for p in properties), F.col(base).alias("__next"))
         joined = now.join(upper, (F.col(doc) == F.col("__d")) & (F.col(base) == F.col("__s")), "left")
         now = joined.select(doc, style, *(F.coalesce(p, f"__{p}").alias(p) for p in properties), F.col("__next").alias(base))
+        now = materialize(now, "styles") if step < DOUBLINGS else now
     return now.drop(base)
 
 

@@ -17,9 +17,11 @@ DOCS = "docs AS (SELECT l_orderkey AS doc_id, count(*) AS page_count FROM lineit
 
 
 def pages(spark, sf_dir):
-    index = F.row_number().over(W.partitionBy("l_orderkey").orderBy(*_ORDER)).cast("long") - 1
-    return table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("doc_id"), index.alias("page_index"), (F.lit(400.0) + 8 * F.col("l_quantity")).alias("width"), (F.lit(600.0) + F.col("l_partkey") % 300).alias("height"),
+    # named before the window, so that one exchange by doc_id serves the window and all that groups by document after it
+    lines = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "doc_id")
+    index = F.row_number().over(W.partitionBy("doc_id").orderBy(*_ORDER)).cast("long") - 1
+    return lines.withColumn("page_index", index).select(
+        "doc_id", "page_index", (F.lit(400.0) + 8 * F.col("l_quantity")).alias("width"), (F.lit(600.0) + F.col("l_partkey") % 300).alias("height"),
         (F.col("l_linenumber") % 4 * 90).alias("rotation"), F.when(F.col("l_suppkey") % 3 == 0, F.lit(300.0) + F.col("l_partkey") % 300).alias("content_height"),
     )
 

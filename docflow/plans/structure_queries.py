@@ -149,8 +149,9 @@ _CELLS = f"""cells AS (SELECT l_orderkey AS table_id, (row_number() OVER w - 1)
 def cells(spark, sf_dir):
     from pyspark.sql import Window as W
 
-    at = F.row_number().over(W.partitionBy("l_orderkey").orderBy(*_ORDER.split(", "))) - 1
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("table_id"), F.floor(at / 3).alias("row"), (at % 3).cast("long").alias("col"), F.col("l_quantity").alias("grid"), (F.col("l_partkey") % 40 + 4.5).alias("height"), (F.col("l_suppkey") % 3 * 200).alias("row_height"), (F.col("l_linenumber") % 5 == 0).alias("exact"))
+    at = F.col("__at")
+    lines = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "table_id").withColumn("__at", F.row_number().over(W.partitionBy("table_id").orderBy(*_ORDER.split(", "))) - 1)
+    return lines.select("table_id", F.floor(at / 3).alias("row"), (at % 3).cast("long").alias("col"), F.col("l_quantity").alias("grid"), (F.col("l_partkey") % 40 + 4.5).alias("height"), (F.col("l_suppkey") % 3 * 200).alias("row_height"), (F.col("l_linenumber") % 5 == 0).alias("exact"))
 
 
 _WIDTHS = f"""{_CELLS}, g AS (SELECT table_id, col, max(grid) AS grid FROM cells GROUP BY ALL), widths AS (SELECT table_id, col, CASE table_id % 3 WHEN 0 THEN least(468 * 4000 / 5000.0, 468) WHEN 1 THEN 6000 / 20.0 ELSE 468 END * (grid / sum(grid) OVER (PARTITION BY table_id)) AS width FROM g)"""

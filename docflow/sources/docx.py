@@ -13,6 +13,7 @@ import json
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from xml.parsers import expat
 
 import pyarrow as pa
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 
 from docflow.functions.labels import ALIGN, BORDER, heading_level, image_format, is_zip
 from docflow.operators import structure
+from docflow.sources.storage import materialize
 
 TWIPS, HALF_POINTS = 20.0, 2.0
 # Page size and margins where a document names none (points), and the distances of header and footer.
@@ -496,6 +498,7 @@ class Docx:
         named = self.rows.where("kind = 'geometry'").select("doc_id", F.from_json("payload", SCHEMAS["geometry"]).alias("r")).select("doc_id", "r.*").groupBy("doc_id").agg(*(F.first(c, True).alias(c) for c in PAGE))
         return self.loaded().join(named, "doc_id", "left").select("doc_id", *(F.coalesce(c, F.lit(v)).alias(c) for c, v in PAGE.items()))
 
+    @lru_cache
     def styles(self) -> DataFrame:
         """Every style with inherited properties; heading styles get their level from their name, and document defaults come last."""
         own = self.table("style")
@@ -503,11 +506,12 @@ class Docx:
         named = own.where("NOT is_default").withColumn("outline_level", level)
         properties = [*RUN_PROPERTIES, *PARAGRAPH_PROPERTIES]
         resolved = structure.inherited(named, properties, "doc_id", "style_id", "based_on")
-        return resolved.join(self.defaults(), "doc_id", "left").select("doc_id", "style_id", *(F.coalesce(p, f"__d{p}").alias(p) for p in properties))
+        return materialize(resolved.join(self.defaults(), "doc_id", "left").select("doc_id", "style_id", *(F.coalesce(p, f"__d{p}").alias(p) for p in properties)), "docx-styles")
 
+    @lru_cache
     def defaults(self) -> DataFrame:
         """Each document's default properties, named with __d in front."""
-        return self.table("style").where("is_default").groupBy("doc_id").agg(*(F.first(p, True).alias(f"__d{p}") for p in (*RUN_PROPERTIES, *PARAGRAPH_PROPERTIES)))
+        return materialize(self.table("style").where("is_default").groupBy("doc_id").agg(*(F.first(p, True).alias(f"__d{p}") for p in (*RUN_PROPERTIES, *PARAGRAPH_PROPERTIES))), "docx-defaults")
 
     def paragraphs(self) -> DataFrame:
         """Paragraphs of all parts with resolved paragraph properties and list labels. Lists count on from the body to headers and footers."""
