@@ -165,7 +165,7 @@ def candidate_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """links a, b: the pairs (leader, node) that are confirmed on full sets. A leader's set is sent once for each SERVED rows."""
-    counted = pairs.groupBy("leader").agg(F.count("*").alias("n")).withColumn("shares", F.ceil(F.col("n") / SERVED).cast("int"))
+    counted = materialize(pairs.groupBy("leader").agg(F.count("*").alias("n")).withColumn("shares", F.ceil(F.col("n") / SERVED).cast("int")), "near-shares")  # as a table, so that the join can be split at a leader of many
     served = pairs.join(counted, "leader").select("leader", "node", F.pmod(F.xxhash64("node"), F.col("shares")).cast("int").alias("share"))
     members = served.join(texts, "node").select("leader", "share", F.lit(1).alias("member"), "node", "text")
     leaders = counted.join(texts, counted["leader"] == texts["node"]).select("leader", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("member"), F.col("leader").alias("node"), "text")
@@ -202,18 +202,18 @@ def _tiles(members: DataFrame, count: DataFrame) -> DataFrame:
 
 
 def _groups(batches, largest: str):
-    """Runs of rows with equal (key, i, j), which arrive side by side; a batch is read in slices by its largest column."""
+    """key and rows of runs of rows with equal (key, i, j), which arrive side by side; a batch is read in slices by its largest column."""
     current, rows = None, []
     for whole in batches:
         for batch in slices(whole, largest, BATCH_BYTES):
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if row[:3] != current:
                     if rows:
-                        yield rows
+                        yield current[0], rows
                     current, rows = row[:3], []
                 rows.append(row[3:])
     if rows:
-        yield rows
+        yield current[0], rows
 
 
 def _agreements(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -227,17 +227,28 @@ def _agreements(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
-def _agreeing(rows: list, block: int = 128):
-    """For rows (side, node, root, signature, ...) yields indices (x, y) of pairs of different roots whose minima agree in half."""
-    signatures = np.frombuffer(b"".join(r[3] for r in rows), "<u4").reshape(len(rows), -1).astype(np.uint8)
+def _agreeing(key: int, rows: list, block: int = 128):
+    """For rows (side, node, root, signature, ...) yields indices (x, y) of pairs of different roots whose minima agree in half.
+
+    A pair that shares several groups is looked at in the one of its first common band only.
+    """
+    signatures = np.frombuffer(b"".join(r[3] for r in rows), "<u4").reshape(len(rows), -1)
+    short, keys = signatures.astype(np.uint8), band_keys(signatures)
     side, root = np.array([r[0] for r in rows]), np.array([r[2] for r in rows], np.int64)
     left = np.flatnonzero(side != 1)
     right = np.flatnonzero(side != 0)
     for at in range(0, len(left), block):
         mine = left[at : at + block]
-        same = _agreements(signatures[mine], signatures[right])
+        same = _agreements(short[mine], short[right])
         x, y = np.nonzero((same >= signatures.shape[1] // 2) & (root[mine][:, None] != root[right][None, :]))
-        yield from zip(mine[x].tolist(), right[y].tolist())
+        x, y = mine[x], right[y]
+        once = (side[x] != 2) | (x < y)  # a tile against itself has every pair twice
+        x, y = x[once], y[once]
+        for part in range(0, len(x), 4096):
+            p, q = x[part : part + 4096], y[part : part + 4096]
+            first = (keys[p] == keys[q]).argmax(axis=1)
+            here = keys[p, first] == key
+            yield from zip(p[here].tolist(), q[here].tolist())
 
 
 def tiled_links(buckets: DataFrame, classes: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
@@ -250,14 +261,14 @@ def tiled_links(buckets: DataFrame, classes: DataFrame, labels: DataFrame, texts
     arrow = arrow_schema(found)
 
     def screen(batches):
-        for rows in _groups(batches, "signature"):
-            nodes = sorted({i for pair in _agreeing(rows) for i in pair})
+        for key, rows in _groups(batches, "signature"):
+            nodes = sorted({i for pair in _agreeing(key, rows) for i in pair})
             if nodes:
-                yield pa.RecordBatch.from_arrays([pa.array([rows[0][4]] * len(nodes), pa.int64()), pa.array([rows[i][1] for i in nodes], pa.int64())], schema=arrow)
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(nodes), pa.int64()), pa.array([rows[i][1] for i in nodes], pa.int64())], schema=arrow)
 
     order = ["key", "i", "j"]
     screened = _tiles(members, count).repartition(*order).sortWithinPartitions(*order)
-    suspects = materialize(screened.select("key", "i", "j", "side", "node", "root", "signature", F.col("key").alias("k")).mapInArrow(tidy(screen), found).distinct(), "near-suspects")
+    suspects = materialize(screened.select("key", "i", "j", "side", "node", "root", "signature").mapInArrow(tidy(screen), found).distinct(), "near-suspects")
     sized = suspects.join(texts.select("node", F.length("text").alias("size")), "node").groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
     again = materialize(sized.select("key", F.greatest(F.ceil(F.col("n") / TILE), F.ceil(F.col("size") / TILE_BYTES)).cast("int").alias("tiles")), "near-again")
     held = _labelled(suspects, labels, "node", "root").join(classes.select("node", "signature"), "node").join(texts, "node").select("key", "node", "root", "signature", "text")
@@ -265,7 +276,7 @@ def tiled_links(buckets: DataFrame, classes: DataFrame, labels: DataFrame, texts
     links = arrow_schema(schema)
 
     def compare(batches):
-        for rows in _groups(batches, "text"):
+        for key, rows in _groups(batches, "text"):
             sets: dict[int, np.ndarray] = {}
             parent: dict[int, int] = {}
 
@@ -275,7 +286,7 @@ def tiled_links(buckets: DataFrame, classes: DataFrame, labels: DataFrame, texts
                 return x
 
             a, b = [], []
-            for x, y in _agreeing(rows):
+            for x, y in _agreeing(key, rows):
                 p, q = top(rows[x][2]), top(rows[y][2])
                 if p == q:
                     continue
