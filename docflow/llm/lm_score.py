@@ -25,6 +25,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,9 +33,9 @@ from docflow.llm.shared import arrow_schema, id_of, materialize, slices, table_o
 
 ORDER = 3
 FOLDS, HELD_OUT = 5, 1
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 #: Distinct words that a counting task gathers before it writes them.
-MOST_WORDS = 1_000_000
+MOST_WORDS = 250_000
 #: The end of a text as a token; no word is empty.
 END = b""
 DOC, WORD, GRAM = 2, 0, 1
@@ -188,6 +189,40 @@ class Lookup:
         return self.values[at]
 
 
+class Counts:
+    """Numbers by word, held as 128-bit digests in arrays with open addressing: 33 bytes a slot, against 200 for a word in a dictionary."""
+
+    def __init__(self, digests: np.ndarray, numbers: np.ndarray):
+        size = 1 << max(4, int(2 * len(digests)).bit_length())
+        self.mask = np.uint64(size - 1)
+        self.keys, self.numbers, self.used = np.zeros((size, 2), np.uint64), np.zeros(size, np.int64), np.zeros(size, bool)
+        at, left = (digests[:, 0] & self.mask).astype(np.int64), np.arange(len(digests))
+        while len(left):
+            free = left[~self.used[at[left]]]
+            self.keys[at[free]] = digests[free]  # of several in one slot the last stays
+            self.used[at[free]] = True
+            placed = (self.keys[at[left]] == digests[left]).all(axis=1)
+            self.numbers[at[left[placed]]] = numbers[left[placed]]
+            left = left[~placed]
+            at[left] = (at[left] + 1) & (size - 1)
+
+    @staticmethod
+    def digests(words: list[bytes]) -> np.ndarray:
+        return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), "<u8").reshape(-1, 2)
+
+    def __getitem__(self, words: list[bytes]) -> np.ndarray:
+        """The numbers of words, 0 for those that are not there."""
+        digests, found = self.digests(words), np.zeros(len(words), np.int64)
+        at, left = (digests[:, 0] & self.mask).astype(np.int64), np.arange(len(words))
+        while len(left):
+            left = left[self.used[at[left]]]
+            same = (self.keys[at[left]] == digests[left]).all(axis=1)
+            found[left[same]] = self.numbers[at[left[same]]]
+            left = left[~same]
+            at[left] = (at[left] + 1) & (len(self.used) - 1)
+        return found
+
+
 def scored(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The columns of SCORES, one row for each row of docs."""
     stored = blocks(docs.select(id_of(doc_id).alias("doc_id"), text_of(text).alias("text")))
@@ -204,29 +239,34 @@ def scored(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     unseen = np.log10(total + 0.5 * (distinct + 1))
 
     def run(batches):
-        current, counts, keys, values, lookup = None, {}, [], [], None
+        current, words, numbers, keys, values, counts, lookup = None, [], [], [], [], None, None
         for whole in batches:
             for batch in slices(whole, "text", BATCH_BYTES):
-                kinds, numbers = batch.column("kind").to_numpy(), batch.column("block").to_numpy()
-                edges = np.flatnonzero((np.diff(kinds) != 0) | (np.diff(numbers) != 0)) + 1
+                kinds, blocks_ = batch.column("kind").to_numpy(), batch.column("block").to_numpy()
+                edges = np.flatnonzero((np.diff(kinds) != 0) | (np.diff(blocks_) != 0)) + 1
                 for start, end in zip([0, *edges.tolist()], [*edges.tolist(), len(kinds)]):
                     part, kind = batch.slice(start, end - start), int(kinds[start])
-                    if numbers[start] != current:
-                        current, counts, keys, values, lookup = numbers[start], {}, [], [], None
+                    if blocks_[start] != current:
+                        current, words, numbers, keys, values, counts, lookup = blocks_[start], [np.empty((0, 2), np.uint64)], [np.empty(0, np.int64)], [], [], None, None
                     if kind == WORD:
-                        counts.update(zip(part.column("word").to_pylist(), part.column("n").to_pylist()))
+                        words.append(Counts.digests(part.column("word").to_pylist()))
+                        numbers.append(part.column("n").to_numpy())
                     elif kind == GRAM:
                         keys.append(part.column("gram").to_numpy().astype(np.uint32))
                         values.append(part.column("bits").to_numpy())
                     else:
                         if lookup is None:
-                            lookup = Lookup(np.concatenate(keys), np.concatenate(values))
-                        texts, rows = part.column("text").to_pylist(), []
+                            counts, lookup = Counts(np.concatenate(words), np.concatenate(numbers)), Lookup(np.concatenate(keys), np.concatenate(values))
+                            words, numbers, keys, values = [], [], [], []
+                        ids, texts = part.column("doc_id").to_pylist(), part.column("text").to_pylist()
                         found, starts = windows(texts)
                         scores = np.add.reduceat(lookup[found], starts)
-                        for doc, text, score in zip(part.column("doc_id").to_pylist(), texts, scores.tolist()):
-                            c = np.array([counts.get(w, 0) for w in (*text.split(), END)], np.float64)
-                            rows.append((doc, held_out(doc), len(c), int((c > 0).sum()), total, float((np.log10(c + 0.5) - unseen).sum()), score, len(text)))
-                        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), arrow)], schema=arrow)
+                        tokens = [(*t.split(), END) for t in texts]
+                        sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+                        firsts = np.cumsum(sizes) - sizes
+                        c = counts[[w for t in tokens for w in t]]
+                        known, base = np.add.reduceat((c > 0).astype(np.int64), firsts), np.add.reduceat(np.log10(c + 0.5) - unseen, firsts)
+                        columns = (ids, [held_out(i) for i in ids], sizes, known, np.full(len(ids), total, np.int64), base, scores, np.fromiter(map(len, texts), np.int64, len(texts)))
+                        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, arrow)], schema=arrow)
 
     return dealt.mapInArrow(tidy(run), SCORES)
