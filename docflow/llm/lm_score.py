@@ -35,7 +35,7 @@ ORDER = 3
 FOLDS, HELD_OUT = 5, 1
 BATCH_BYTES = 1 << 20
 #: Distinct words that a counting task gathers before it writes them.
-MOST_WORDS = 250_000
+MOST_WORDS = 600_000
 #: The end of a text as a token; no word is empty.
 END = b""
 DOC, WORD, GRAM = 2, 0, 1
