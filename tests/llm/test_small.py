@@ -483,6 +483,22 @@ def test_fertility():
     assert quality.script_of("Привет мир") == "cyrillic" and quality.script_of("日本語") == "cjk" and quality.script_of("123") == "other"
 
 
+def test_bands():
+    """Of the corpus's documents that pass the base rules, those of quality 0 fall out and those of quality 1 stay."""
+    import pyarrow.parquet as pq
+
+    quality_of = {r["doc_id"]: r["quality"] for r in pq.read_table("/root/testdata/sf0.01/labels.parquet").to_pylist()}
+    vocabulary, found = quality.Fertility(PIECES), {0: [], 1: []}
+    for r in pq.read_table("/root/testdata/sf0.01/documents.parquet").to_pylist():
+        if r["doc_id"] in quality_of and not (m := quality.judged(r["text"] or "", r["lang"], vocabulary))[5]:
+            found[quality_of[r["doc_id"]]].append(m[6])
+    assert len(found[0]) > 20 and sum(found[0]) <= 0.1 * len(found[0])
+    assert len(found[1]) > 300 and sum(found[1]) >= 0.99 * len(found[1])
+    symbols = " ".join("#*$%&|<>"[i % 8] * (1 + i % 3) for i in range(400))
+    assert not any(quality.judged(symbols, lang, vocabulary)[6] for lang in ("en", "de", "fr", "es", None))
+    assert not quality.judged(" ".join(chr(0x10300 + i % 26) + chr(0x10330 + i % 23) for i in range(99)), None, vocabulary)[6]
+
+
 # 9 ---------------------------------------------------------------------------------------------------------------
 
 
