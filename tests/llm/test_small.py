@@ -256,6 +256,17 @@ def test_op4_terms(spark):
     assert all(clean[i] == t for i, t in rows if 100 <= i < 200)
 
 
+def test_op4_rare(spark):
+    """An entity in one or two documents has its rare terms masked; common words stay."""
+    common = "the house and the garden with every tree from that street"
+    rows = [(1, f"{common} Quillfeather rare@ex.org {common}"), (2, f"{common}, Ostrobothnia 10.0.0.1 {common}"), (3, f"every {common} Ostrobothnia 10.0.0.1")]
+    rows += [(10 + i, f"{common} {i}") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.sanitise(docs).where("doc_id < 10").collect()}
+    assert got == {1: f"{common} [TERM] [EMAIL] {common}", 2: f"{common}, [TERM] [IP] {common}", 3: f"every {common} [TERM] [IP]"}
+    assert {r.doc_id: r.n_term for r in pii.spans_of(docs).collect() if r.n_term} == {1: 1, 2: 1, 3: 1}
+
+
 def pii_brute(rows, alpha, least):
     """All spans of each row, from base spans, windows of words around them, and counts over all rows."""
     term = regex.compile(pii.TERM)
