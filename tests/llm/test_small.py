@@ -267,6 +267,18 @@ def test_op4_rare(spark):
     assert {r.doc_id: r.n_term for r in pii.spans_of(docs).collect() if r.n_term} == {1: 1, 2: 1, 3: 1}
 
 
+def test_op4_whole_text(spark):
+    """A disclosing term is masked at all its places in a text that names the entity, however far off; other texts stay."""
+    common = "the house and the garden with every tree from that street " * 9
+    rows = [(1, f"Quillfeather {common}rare@ex.org {common}quillfeather, {common}QUILLFEATHER"), (2, f"{common} Ostrobothnia")]
+    rows += [(10 + i, f"{common} {i}") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.sanitise(docs).where("doc_id < 10").collect()}
+    assert got == {1: f"[TERM] {common}[EMAIL] {common}[TERM], {common}[TERM]", 2: rows[1][1]}
+    (row,) = (r for r in pii.spans_of(docs).collect() if r.n_term)
+    assert (row.doc_id, row.n_term) == (1, 3) and row.spans.count("term:") == 3
+
+
 def pii_brute(rows, alpha, least):
     """All spans of each row, from base spans, windows of words around them, and counts over all rows."""
     term = regex.compile(pii.TERM)
