@@ -92,17 +92,28 @@ BREAKS = (
     (r"([^\p{L}\p{N},( \t\n-])[ \t]*\n", "$1", r"\1"),
     (r"([.!?:;])[ \t\n]", "$1", r"\1"),
 )
+#: Marks within sentences of standard notices, which must not end them; taken out before the text is cut.
+INNER = (
+    r"(?i)(?<=free)([ \t\n]+software)[:;](?=[ \t\n]+you[ \t\n]+can[ \t\n])",
+    r"(?i)(?<=any)([ \t\n]+warranty);(?=[ \t\n]+without[ \t\n]+even[ \t\n])",
+    r"(?i)(?<=software)([ \t\n]+foundation);(?=[ \t\n]+either[ \t\n]+version[ \t\n])",
+    r"(?i)(?<=license)(,?[ \t\n]+v)\.(?=[ \t\n]+[0-9])",
+)
 SEQUENCE = "|".join("".join(f"{s};" for s in rule) for _, rule in RULES)
 
 
 def sentence_ids(text: Column) -> Column:
-    """The sequence of the text's sentences as "id;" each, "-;" for sentences that are not known."""
+    """The sequence of the text's sentences as "id;" each, "-;" for sentences that are not known; labels of list items are no sentences."""
     cut = text
+    for pattern in INNER:
+        cut = F.regexp_replace(cut, pattern, "$1")
     for pattern, kept, _ in BREAKS:
         cut = F.regexp_replace(cut, pattern, f"{kept}{BREAK}")
     known = F.create_map(*(F.lit(x) for i, s in SENTENCES.items() for x in (s, i)))
     plain = lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
-    return F.array_join(F.transform(F.split(cut, BREAK, -1), lambda s: F.concat(F.coalesce(F.try_element_at(known, plain(s)), F.lit("-")), F.lit(";"))), "")
+    told = F.filter(F.transform(F.split(cut, BREAK, -1), plain), lambda s: ~F.regexp_like(s, F.lit("^(?:[0-9 ]*|[a-z]|[ivx]{1,4})$")))
+    bare = lambda s: F.regexp_replace(s, "^(?:[0-9]{1,3}|[a-z]|[ivx]{1,4}) ", "")
+    return F.array_join(F.transform(told, lambda s: F.concat(F.coalesce(F.try_element_at(known, bare(s)), F.lit("-")), F.lit(";"))), "")
 
 
 def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

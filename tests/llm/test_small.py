@@ -193,6 +193,32 @@ def test_licences(spark, duck, empty):
     assert {i for _, rule in licences.RULES for i in rule} <= set(licences.SENTENCES)
 
 
+def test_licence_notices(spark):
+    """The standard notices, with their line ends and list numbers."""
+    head = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n"
+    clauses = (
+        "Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.",
+    )
+    bsd = lambda n, label, gap="\n\n": head + gap.join(f"{label(k)} {c}" for k, c in enumerate(clauses[:n])) + '\n\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"\nAND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.'
+    numbers = lambda k: f"{k + 1}."
+    gnu = lambda what, mark, name, version: (
+        f"This {what} is free software{mark} you can redistribute it and/or modify\nit under the terms of the {name} as published by\nthe Free Software Foundation{',' if version == '3' else ';'} either version {version} of the License, or\n(at your option) any later version.\n\n"
+        f"This {what} is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\n{name} for more details.\n\nYou should have received a copy of the {name}\nalong with this {what}.  If not, see <https://www.gnu.org/licenses/>."
+    )
+    cases = [
+        (bsd(3, numbers), "BSD-3-Clause"), (bsd(2, numbers), "BSD-2-Clause"), (bsd(3, lambda k: f"({'abc'[k]})"), "BSD-3-Clause"), (bsd(2, lambda k: "*"), "BSD-2-Clause"), (bsd(2, lambda k: f"{k + 1})", "\n"), "BSD-2-Clause"), (bsd(3, numbers, " "), "BSD-3-Clause"),
+        ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.", "MPL-2.0"),
+        (gnu("program", ":", "GNU General Public License", "3"), "GPL-3.0-or-later"), (gnu("program", ";", "GNU General Public License", "2"), "GPL-2.0-or-later"), (gnu("library", ";", "GNU Lesser General Public\nLicense", "2.1"), "LGPL-2.1-or-later"),
+        ('Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n', "Apache-2.0"),
+        ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.", "ISC"),
+        ("This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy", "Unlicense"), ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA-4.0"), ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "CC-BY-4.0"),
+    ]
+    got = {r.doc_id: (r.licences, r.n_matches) for r in licences.scan(spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "doc_id long, text string")).collect()}
+    assert got == {i: (c[1], 1) for i, c in enumerate(cases)}
+
+
 # 4 ---------------------------------------------------------------------------------------------------------------
 
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
