@@ -105,22 +105,22 @@ def folded_edits(edits: DataFrame, fields: list[str]) -> DataFrame:
     return last.where("l.action != 'remove'").select(*KEY, "ord", *(F.col(f"l.{f}") for f in fields))
 
 
-def replies(comments: DataFrame, deepest: int = 64) -> DataFrame:
+def replies(comments: DataFrame) -> DataFrame:
     """Threads of comments: depth (0 for those without parent), shown_depth (3 at most) and the comment that starts the thread.
 
-    Pointers to ancestors double with each join, so a thread of depth 64 takes six joins. What is not reached (cycles,
-    missing parents) is left out.
+    Pointers to ancestors double with each join, until no further comment reaches the start of its thread: depths have no
+    gaps, so what is open then has none (cycles, missing parents) and is left out. A thread of depth 64 takes seven joins.
     """
     rows = comments.select("doc_id", "name", "parent_name")
-    now = materialize(rows.select("doc_id", "name", F.coalesce("parent_name", "name").alias("up"), F.when(F.col("parent_name").isNull(), 0).otherwise(1).alias("depth")), "threads")
-    reach = 1
-    while reach < deepest:
-        far = now.select(F.col("doc_id").alias("__d"), F.col("name").alias("__n"), F.col("up").alias("__up"), F.col("depth").alias("__depth"))
-        now = now.join(far, (F.col("doc_id") == F.col("__d")) & (F.col("up") == F.col("__n"))).select("doc_id", "name", F.col("__up").alias("up"), (F.col("depth") + F.col("__depth")).alias("depth"))
-        now = materialize(now, "threads")  # the next join reads it twice
-        reach *= 2
-    roots = rows.where("parent_name IS NULL").select("doc_id", F.col("name").alias("up"))
-    return now.join(roots, ["doc_id", "up"], "left_semi").select("doc_id", "name", F.col("up").alias("thread"), "depth", F.least("depth", F.lit(THREAD_DEPTH)).alias("shown_depth"))
+    start = F.col("parent_name").isNull()
+    now = materialize(rows.select("doc_id", "name", F.coalesce("parent_name", "name").alias("up"), F.when(start, 0).otherwise(1).alias("depth"), start.alias("done")), "threads")
+    before, reached = -1, now.where("done").count()
+    while reached > before and not now.where("NOT done").isEmpty():
+        far = now.select(F.col("doc_id").alias("__d"), F.col("name").alias("__n"), F.col("up").alias("__up"), F.col("depth").alias("__depth"), F.col("done").alias("__done"))
+        further = now.where("NOT done").join(far, (F.col("doc_id") == F.col("__d")) & (F.col("up") == F.col("__n"))).select("doc_id", "name", F.col("__up").alias("up"), (F.col("depth") + F.col("__depth")).alias("depth"), F.col("__done").alias("done"))
+        now = materialize(now.where("done").unionByName(further), "threads")  # the next join reads it twice
+        before, reached = reached, now.where("done").count()
+    return now.where("done").select("doc_id", "name", F.col("up").alias("thread"), "depth", F.least("depth", F.lit(THREAD_DEPTH)).alias("shown_depth"))
 
 
 # geometry -----------------------------------------------------------------------------------------------------------
