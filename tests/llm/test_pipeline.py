@@ -50,7 +50,6 @@ def test_stages(spark, tmp_path):
         assert masked[doc_id] == text + row.text[at:]
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     pieces = sorted(after[4], key=lambda r: (r.sequence_id, r.offset))
     place = 0
     for r in pieces:

@@ -20,6 +20,7 @@ from docflow.llm import bpe, catalog, components, exact_dedup, licences, lm_scor
 
 MULTI, RANKS, PIECES = (public_tokenizers.path(n) for n in ("byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"))
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+SPECIAL = packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -394,8 +395,7 @@ def test_deduplicate(docs, rows, empty, keep):
 
 def test_op6(docs, rows, empty):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
-    pieces = packing.pack(docs, RANKS, public_tokenizers.PATTERN, length=64, with_ids=True)
+    pieces = packing.pack(docs, RANKS, public_tokenizers.PATTERN, length=64, special=SPECIAL, with_ids=True)
     got = pieces.collect()
     streams = Counter((i, tuple(tokenizer.encode(t or "", add_special_tokens=False).ids) + (1,)) for i, t, *_ in rows)
     # what lies side by side in the packed stream gives back every document's ids, once
@@ -418,8 +418,9 @@ def test_op6(docs, rows, empty):
 
 def test_two_tokenizers_agree():
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
-    library = packing.encoder(RANKS, public_tokenizers.PATTERN)
+    library = packing.encoder(RANKS, public_tokenizers.PATTERN, SPECIAL)
+    for text in ("<|endoftext|>", "a <|endoftext|>b  <|endoftext|><|endoftext|>", "<|endoftext|", "  <|endoftext|>  x", "<|ENDOFTEXT|>"):
+        assert tokenizer.encode(text, add_special_tokens=False).ids == library.encode_to_numpy(text, allowed_special={"<|endoftext|>"}).tolist()
     points = [i for i in range(1, 0x30000) if not 0xD800 <= i < 0xE000]
     for at in range(0, len(points), 512):
         text = "".join(f"a{chr(i)} 1" for i in points[at : at + 512])
