@@ -1,175 +1,181 @@
 """Exact duplicates with a log-structured merge index.
 
-Memtables: each task gathers (digest, id) entries up to a bound, sorts them by digest and flushes them as one sorted run
-into the shared folder, with a filter: two bit maps of fixed size, of digest hashes seen once and seen twice. Filters of
-runs merge associatively into one of the same size. Compaction merges the runs by digest; of each digest it keeps the
-smallest (or, by parameter, the largest) identifier. Hits are rows whose digest the merged filter has seen twice; only
-their texts travel, and they are verified by grouping on the bytes themselves, combined before the shuffle, so that a
-group of copies costs a row for each task. Rows that the filter passes over are certainly single.
-
-Defined results: null text counts as empty; empty texts equal each other; rows that repeat both doc_id and text are
-copies too, and exactly one of them is kept; a null doc_id loses against any other and is kept only in a group that has
-no other; an empty table gives an empty result.
+One pass gives each row a number and the digest of its text. Memtables: each task gathers (digest, id, row) entries up to a
+bound, sorts them by digest and flushes them as one sorted run, where the rows of a block that share a digest are one
+entry, so a text of which there are very many copies is one entry for each block. Compaction merges the runs by ranges of
+digests: each range's parts of all runs meet in digest order and pass through one sweep, which keeps of each digest the
+smallest (or, by parameter, the largest) identifier. The compacted index is again sorted runs, one for each range, with a
+Bloom filter for each part of a file; `holding` consults these before it reads a run.
+
+Hits are the rows whose digest the index counts twice or more, exactly: there is no filter whose size would have to grow
+with the table. They are sent to the blocks that hold them, and only their texts travel. They are verified by grouping on
+the bytes themselves, combined before the shuffle; texts that share a digest but differ are then told apart by their bytes.
+
+Defined results: null text counts as empty; empty texts equal each other; texts of any length are handled whole, one batch
+of bounded bytes at a time; rows that repeat both doc_id and text are copies too, and exactly one of them (the first
+written) is kept; a null doc_id loses against any other and is kept only in a group that has no other; an empty table
+gives an empty result; other columns pass through whatever their names, but for those that begin with two underscores.
 """
 
 from __future__ import annotations
 
 import hashlib
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docflow.llm.shared import arrow_schema, id_of, materialize, slices, table_of, text_of, tidy
+from docflow.llm.shared import BLOCK, ROW, arrow_schema, at_rows, by_block, discard, id_of, materialize, numbered, slices, table_of, text_of, tidy
 
-#: Bits of each map of the filter; it bounds what is sent to the driver and the executors (two maps: 2 x 512 KiB).
-FILTER_BITS = 1 << 22
 #: Entries of a memtable before it is flushed.
 MEMTABLE_ENTRIES = 1 << 17
 BATCH_BYTES = 8 << 20
 
-RUNS = table_of("run long, seq long, doc_id long, digest binary, once binary, twice binary")
+#: Entries of runs: of a digest's rows in a block the best one, and how many there are.
+RUNS = table_of("digest binary, block int, doc_id long, row long, n long")
 
 
 def sha256_digest(text: bytes) -> bytes:
     return hashlib.sha256(text).digest()
 
 
-def _slots(digests: list[bytes], bits: int) -> np.ndarray:
-    padded = b"".join(d[:8].ljust(8, b"\0") for d in digests)
-    return (np.frombuffer(padded, "<u8") % np.uint64(bits)).astype(np.int64)
-
-
-def _noted(once: np.ndarray, twice: np.ndarray, slots: np.ndarray) -> None:
-    slots, counts = np.unique(slots, return_counts=True)
-    twice[slots] |= once[slots] | (counts > 1)
-    once[slots] = True
-
-
-def flush_runs(docs: DataFrame, digest=sha256_digest, bits: int = FILTER_BITS, memtable: int = MEMTABLE_ENTRIES) -> DataFrame:
-    """The sorted runs of docs(doc_id, text), written to the shared folder: entries, and one filter row for each task."""
-    arrow = arrow_schema(RUNS)
+def digested(docs: DataFrame, text: str, digest=sha256_digest) -> DataFrame:
+    """docs with __digest."""
+    source = docs if dict(docs.dtypes)[text] == "string" else docs.withColumn("__text", text_of(text))
+    read = text if source is docs else "__text"
+    schema = T.StructType([*source.schema.fields, T.StructField("__digest", T.BinaryType())])
+    arrow = arrow_schema(schema)
 
     def run(batches):
-        from pyspark import TaskContext
-
-        task = TaskContext.get().partitionId()
-        once, twice = np.zeros(bits, bool), np.zeros(bits, bool)
-        table: list[tuple[bytes, int, int | None]] = []
-        number = runs = 0
-
-        def flushed():
-            table.sort(key=lambda e: e[:2])
-            digests, seqs, ids = zip(*table)
-            _noted(once, twice, _slots(list(digests), bits))
-            n, none = len(table), pa.nulls(len(table), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array([(task << 32) + runs] * n, pa.int64()), pa.array(seqs, pa.int64()), pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), none, none], schema=arrow)
-
         for whole in batches:
-            for batch in slices(whole, "text", BATCH_BYTES):
-                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
-                    table.append((digest(text), (task << 40) + number, doc_id))
-                    number += 1
-                    if len(table) >= memtable:
-                        yield flushed()
-                        runs += 1
-                        table.clear()
-        if table:
-            yield flushed()
-        if number:
-            null = pa.nulls(1, pa.int64())
-            yield pa.RecordBatch.from_arrays([null, null, null, pa.nulls(1, pa.binary()), *(pa.array([np.packbits(x).tobytes()], pa.binary()) for x in (once, twice))], schema=arrow)
-
-    return materialize(docs.mapInArrow(tidy(run), RUNS), "dedup-runs")
-
-
-def merged_filter(runs: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """The bits seen twice over all runs. Merged in two steps, each row of fixed size."""
-    filters = runs.where("once IS NOT NULL").select("once", "twice")
-    schema = table_of("once binary, twice binary")
-    arrow = arrow_schema(schema)
+            for batch in slices(whole, read, BATCH_BYTES):
+                found = [digest(t or b"") for t in batch.column(batch.schema.get_field_index(read)).cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], schema=arrow)
 
-    def merge(rows):
-        once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
-        for a, b in rows:
-            a, b = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-            twice |= b | (once & a)
-            once |= a
-        return once, twice
+    return source.mapInArrow(tidy(run), schema).drop(*({"__text"} - set(docs.columns)))
 
-    def run(batches):
-        got = merge((a.as_py(), b.as_py()) for batch in batches for a, b in zip(batch.column("once"), batch.column("twice")))
-        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in got], schema=arrow)
 
-    # each task of the file scan merges the filters it reads; a second level merges those, 8 tasks for the driver's 8 rows
-    level = filters.mapInArrow(run, schema)
-    if level.rdd.getNumPartitions() > 8:
-        level = level.repartition(8).mapInArrow(run, schema)
-    return np.unpackbits(merge(level.toLocalIterator())[1]).view(bool)
+def _combined(entries: pa.Table, keys: list[str]) -> pa.Table:
+    """Sorted entries with neighbours of equal keys as one: the first of them, with the sum of their numbers."""
+    n = entries.num_rows
+    if n < 2:
+        return entries
+    new = np.zeros(n - 1, bool)
+    for key in keys:
+        column = entries[key]
+        new |= pc.not_equal(column.slice(1), column.slice(0, n - 1)).to_numpy()
+    starts = np.concatenate([[0], np.flatnonzero(new) + 1])
+    total = np.add.reduceat(entries["n"].to_numpy(), starts)
+    return entries.take(starts).set_column(entries.schema.get_field_index("n"), "n", pa.array(total, pa.int64()))
 
 
-def hits_of(docs: DataFrame, seen_twice: np.ndarray, digest=sha256_digest, bits: int = FILTER_BITS, hit: bool = True, columns: str | None = None) -> DataFrame:
-    """The rows whose digest may occur elsewhere (hit), or certainly does not; with their digest."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("__digest", T.BinaryType())])
-    arrow = arrow_schema(schema)
-    packed = np.packbits(seen_twice).tobytes()
+def flush_runs(table: DataFrame, keep: str = "smallest", memtable: int = MEMTABLE_ENTRIES) -> DataFrame:
+    """The sorted runs of a numbered table(doc_id, __digest), written to the shared folder."""
+    arrow = arrow_schema(RUNS)
+    order = [("digest", "ascending"), ("block", "ascending"), ("doc_id", "ascending" if keep == "smallest" else "descending"), ("row", "ascending")]
 
     def run(batches):
-        filter_bits = np.unpackbits(np.frombuffer(packed, np.uint8)).view(bool)
-        for whole in batches:
-            for batch in slices(whole, "__text", BATCH_BYTES):
-                digests = [digest(t) for t in batch.column(batch.schema.get_field_index("__text")).cast(pa.binary()).to_pylist()]
-                marked = filter_bits[_slots(digests, bits)] == hit
-                got = pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.binary())], schema=arrow)
-                if marked.any():
-                    yield got.filter(pa.array(marked))
+        held: list[pa.RecordBatch] = []
 
-    return docs.mapInArrow(tidy(run), schema)
+        def flushed():
+            entries = pa.Table.from_batches(held)
+            entries = entries.take(pc.sort_indices(entries, sort_keys=order, null_placement="at_end"))
+            return _combined(entries, ["digest", "block"]).cast(arrow).combine_chunks().to_batches()
 
+        for batch in batches:
+            held.append(pa.RecordBatch.from_arrays(batch.columns, names=arrow.names))
+            if sum(b.num_rows for b in held) >= memtable:
+                yield from flushed()
+                held.clear()
+        if held:
+            yield from flushed()
+
+    entries = table.select("__digest", BLOCK, "doc_id", ROW, F.lit(1).cast("long"))
+    return materialize(entries.mapInArrow(tidy(run), RUNS), "dedup-runs")
 
-def compacted(runs: DataFrame, keep: str = "smallest") -> DataFrame:
-    """The index after compaction: digest, keep (the entry that stays: doc_id, seq), group_size. The runs' entries combine in each task first."""
-    best = F.min if keep == "smallest" else F.max
-    sign = 1 if keep == "smallest" else -1
-    # a null doc_id is last either way; of rows that tie in doc_id the first entry stays
-    entry = F.struct(F.col("doc_id").isNull().cast("int") * sign, F.col("doc_id"), (F.col("seq") * sign).alias("seq"))
-    return runs.where("digest IS NOT NULL").groupBy("digest").agg(best(entry).alias("best"), F.count("*").alias("group_size")).select("digest", F.col("best.doc_id").alias("keep_id"), (F.col("best.seq") * sign).alias("keep_seq"), "group_size")
 
+def compacted(runs: DataFrame, keep: str = "smallest") -> DataFrame:
+    """The index, written as sorted runs with filters: digest, keep_id, keep_row (the row that stays), group_size."""
+    ranges = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    prefix = F.conv(F.rpad(F.hex(F.substring("digest", 1, 4)), 8, "0"), 16, 10).cast("long")
+    # a null doc_id is last either way; of rows that tie in doc_id the first stays
+    best = F.col("doc_id").asc_nulls_last() if keep == "smallest" else F.col("doc_id").desc_nulls_last()
+    dealt = runs.repartitionById(ranges, F.shiftright(prefix * ranges, 32).cast("int")).sortWithinPartitions("digest", best, "row")
+    schema = table_of("digest binary, keep_id long, keep_row long, group_size long")
+    arrow = arrow_schema(schema)
 
-def resolve(docs: DataFrame, keep: str = "smallest", text: str = "text", doc_id: str = "doc_id", digest=sha256_digest, bits: int = FILTER_BITS, memtable: int = MEMTABLE_ENTRIES) -> DataFrame:
+    def sweep(batches):
+        last = None  # the digest that may go on in the next batch
+        for batch in batches:
+            entries = pa.Table.from_batches([batch])
+            entries = _combined(pa.concat_tables([last, entries]) if last is not None else entries, ["digest"])
+            last = entries.slice(entries.num_rows - 1)
+            yield from _named(entries.slice(0, entries.num_rows - 1))
+        if last is not None:
+            yield from _named(last)
+
+    def _named(entries):
+        return entries.select(["digest", "doc_id", "row", "n"]).rename_columns(arrow.names).cast(arrow).to_batches()
+
+    found = dealt.select(*RUNS.names).mapInArrow(tidy(sweep), schema)
+    return materialize(found, "dedup-index", **{"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled": "true"})
+
+
+def holding(index: DataFrame, digests: list[bytes]) -> DataFrame:
+    """The index's entries of some digests; runs are read only where their range and filter admit one of them."""
+    return index.where(F.col("digest").isin([bytearray(d) for d in digests]))
+
+
+def copies(table: DataFrame, keep: str = "smallest", memtable: int = MEMTABLE_ENTRIES, text: str = "text") -> DataFrame:
+    """One row for each row of a numbered table(doc_id, text, __digest) that has copies: BLOCK, ROW, keep_id, keep_row, group_size, collided.
+
+    collided: the digest is that of another text, too.
+    """
+    spark = table.sparkSession
+    runs = flush_runs(table, keep, memtable)
+    index = compacted(runs, keep)
+    hits = runs.select("digest", F.col("block").alias(BLOCK)).distinct().join(index.where("group_size > 1"), "digest").withColumnRenamed("digest", "__digest")
+    hits = materialize(hits, "dedup-hits")
+    key = (BLOCK, "__digest")
+    with by_block(spark):
+        # byte verification: copies combine in each task before their text is shuffled
+        texts = at_rows(table.select(*key, text_of(text).alias("__text")), hits.select(*key), "left_semi", key).groupBy("__digest", "__text").agg(F.count("*").alias("n"))
+        collided = materialize(texts.groupBy("__digest").agg(F.count("*").alias("texts")).where("texts > 1").select("__digest"), "dedup-collisions")
+        plain = at_rows(table.select(*key, ROW), hits, "inner", key)
+        if collided.isEmpty():
+            return materialize(plain.select(BLOCK, ROW, "keep_id", "keep_row", "group_size", F.lit(False).alias("collided")), "dedup-copies")
+        # the exact way for digests that are shared by different texts: group on the bytes
+        shared = hits.join(collided, "__digest", "left_semi").select(*key)
+        again = materialize(at_rows(table.select(*key, ROW, "doc_id", text_of(text).alias("__text")), shared, "left_semi", key), "dedup-verify")
+        best, sign = (F.min, 1) if keep == "smallest" else (F.max, -1)
+        rank = F.struct(F.col("doc_id").isNull().cast("int") * sign, F.col("doc_id"), (F.col(ROW) * sign).alias("row"))
+        exact = materialize(again.groupBy("__digest", "__text").agg(best(rank).alias("best"), F.count("*").alias("group_size")), "dedup-exact")  # as a table, so that the join can be split at a text with many rows
+        told = again.join(exact, ["__digest", "__text"]).select(BLOCK, ROW, F.col("best.doc_id").alias("keep_id"), (F.col("best.row") * sign).alias("keep_row"), "group_size", F.lit(True).alias("collided"))
+        return materialize(plain.join(collided, "__digest", "left_anti").select(BLOCK, ROW, "keep_id", "keep_row", "group_size", F.lit(False).alias("collided")).unionByName(told), "dedup-copies")
+
+
+def resolve(docs: DataFrame, keep: str = "smallest", text: str = "text", doc_id: str = "doc_id", digest=sha256_digest, memtable: int = MEMTABLE_ENTRIES) -> DataFrame:
     """Per row: doc_id, keep_id, group_size, kept, digest (binary), collided (its digest is that of another text, too)."""
-    narrow = docs.select(id_of(doc_id).alias("doc_id"), text_of(text).alias("text"))
-    runs = flush_runs(narrow, digest, bits, memtable)
-    seen_twice = merged_filter(runs, bits)
-    entries = runs.where("digest IS NOT NULL").select("doc_id", "seq", "digest")
-    index = materialize(compacted(runs, keep), "dedup-index")  # as a table, so that the join below can be split at a digest with many rows
-    # byte verification of the hits: copies combine in each task before their text is shuffled
-    suspects = hits_of(narrow.select(F.col("text").alias("__text"), "doc_id"), seen_twice, digest, bits).select(F.col("__digest").alias("digest"), F.col("__text").alias("text"), "doc_id")
-    texts = suspects.groupBy("digest", "text").agg(F.count("*").alias("n"))
-    collided = materialize(texts.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest"), "dedup-collisions")
-    by_digest = entries.join(index, "digest").select("doc_id", "keep_id", "group_size", (F.col("seq") == F.col("keep_seq")).alias("kept"), "digest", F.lit(False).alias("collided"))
-    if collided.isEmpty():
-        return by_digest
-    # the exact way for digests that are shared by different texts: group on the bytes; of tied rows one by random number
-    again = materialize(suspects.join(collided, "digest", "left_semi").withColumn("tie", F.monotonically_increasing_id()), "dedup-verify")
-    best, sign = (F.min, 1) if keep == "smallest" else (F.max, -1)
-    exact = again.groupBy("digest", "text").agg(best(F.struct(F.col("doc_id").isNull().cast("int") * sign, F.col("doc_id"), (F.col("tie") * sign).alias("tie"))).alias("best"), F.count("*").alias("group_size"))
-    verified = again.join(exact, ["digest", "text"]).select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("tie") == F.col("best.tie") * sign).alias("kept"), "digest", F.lit(True).alias("collided"))
-    return by_digest.join(collided, "digest", "left_anti").select(verified.columns).unionByName(verified)
-
-
-def deduplicate(docs: DataFrame, keep: str = "smallest", text: str = "text", doc_id: str = "doc_id", bits: int = FILTER_BITS) -> DataFrame:
-    """The rows of docs that stay, with the columns of docs. Only possible copies are shuffled, grouped on their bytes."""
-    runs = flush_runs(docs.select(id_of(doc_id).alias("doc_id"), text_of(text).alias("text")), bits=bits)
-    seen_twice = merged_filter(runs, bits)
-    named = docs.withColumn("__text", text_of(text))
-    single = hits_of(named, seen_twice, bits=bits, hit=False).select(docs.columns)
-    hits = hits_of(named, seen_twice, bits=bits)
-    order = F.struct(F.col(doc_id).isNotNull(), id_of(doc_id) * (-1 if keep == "smallest" else 1))
-    others = [c for c in docs.columns if c != text]
-    best = hits.groupBy("__digest", "__text").agg(F.max_by(F.struct(*others, F.col(text).isNull().alias("__null")), order).alias("best"))
-    whole = [F.when(~F.col("best.__null"), F.col("__text")).alias(text) if c == text else F.col("best")[c].alias(c) for c in docs.columns]
-    return reduce(DataFrame.unionByName, [single, best.select(whole)])
+    table = numbered(digested(docs.select(id_of(doc_id).alias("doc_id"), text_of(text).alias("text")), "text", digest), "dedup-rows")
+    found = copies(table, keep, memtable)
+    with by_block(docs.sparkSession):
+        told = at_rows(table.select(BLOCK, ROW, "doc_id", "__digest"), found, "left")
+        one = told.select("doc_id", F.when(F.col("keep_row").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.coalesce(F.col(ROW) == F.col("keep_row"), F.lit(True)).alias("kept"), F.col("__digest").alias("digest"), F.coalesce("collided", F.lit(False)).alias("collided"))
+        result = materialize(one, "dedup-resolved")
+    discard(table, found)
+    return result
+
+
+def deduplicate(docs: DataFrame, keep: str = "smallest", text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of docs that stay, with the columns of docs. Only the texts of copies are shuffled, to verify them."""
+    own = digested(docs.withColumn("__id", id_of(doc_id)), text)
+    table = numbered(own, "dedup-rows")
+    ready = table.withColumnRenamed("doc_id", "__doc_id") if doc_id != "doc_id" and "doc_id" in docs.columns else table
+    found = copies(ready.withColumn("doc_id", F.col("__id")), keep, text=text)
+    with by_block(docs.sparkSession):
+        result = materialize(at_rows(table, found.where(F.col(ROW) != F.col("keep_row")).select(BLOCK, ROW), "left_anti").select(docs.columns), "dedup-kept")
+    discard(table, found)
+    return result

@@ -18,16 +18,81 @@ from pyspark.sql import types as T
 from docflow.sources.storage import shared_root
 
 
+#: Columns of numbered tables: a row's number, and the block (the writing task) that is in the number's upper bits.
+ROW, BLOCK = "__row", "__block"
+#: The lower bits of monotonically_increasing_id count the rows of a task.
+ROW_BITS = 33
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/docflow/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+@contextlib.contextmanager
+def settings(spark: SparkSession, **values: str):
+    """SQL settings (dots as __) for the plans that are made and run inside."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def numbered(docs: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+    """docs with ROW and BLOCK as a table in the shared folder, in buckets of BLOCK; no row is moved to write it.
+
+    What is found out about some rows is sent to the rows' blocks (see `at_rows`), however large those are.
+    """
+    spark = docs.sparkSession
+    path = fresh_path(spark, name)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    cores, size = spark.sparkContext.defaultParallelism, int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    # by the planner's estimate of the size, where it has one; a block is about as large as a file split
+    buckets = min(100_000, 32 * cores, max(4 * cores, size >> 25 if size < 1 << 60 else 0))
+    kept = docs.withColumn(ROW, F.monotonically_increasing_id()).withColumn(BLOCK, F.spark_partition_id())
+    with settings(spark, spark__sql__maxConcurrentOutputFileWriters="2"):  # a task has one bucket only, so it need not sort
+        kept.write.bucketBy(buckets, BLOCK).option("path", path).option("compression", compression).saveAsTable(table)
+    found = spark.table(table)
+    found._table, found._path = table, path
+    return found
+
+
+def located(frame: DataFrame, row: str = ROW) -> DataFrame:
+    """frame with ROW and BLOCK by the row numbers in a column."""
+    return frame.withColumnRenamed(row, ROW).withColumn(BLOCK, F.shiftright(ROW, ROW_BITS).cast("int"))
+
+
+def at_rows(table: DataFrame, facts: DataFrame, how: str, keys: tuple[str, ...] = (BLOCK, ROW)) -> DataFrame:
+    """A numbered table joined to facts about rows (or other keys within blocks). Run inside `by_block`, only the facts are shuffled."""
+    return table.join(facts.hint("shuffle_hash"), list(keys), how)
+
+
+def by_block(spark: SparkSession):
+    """Inside, joins on a block and more need no other partitioning than the table's, which is by block."""
+    return settings(spark, spark__sql__requireAllClusterKeysForCoPartition="false")
+
+
+def materialize(df: DataFrame, name: str, compression: str = "zstd", **options: str) -> DataFrame:
     """Write df to the shared folder and return a DataFrame that reads it: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.options(compression=compression, **options).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._path = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of `materialize` and `numbered` that nothing will read again."""
+    for df in tables:
+        if name := getattr(df, "_table", None):
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+        if path := getattr(df, "_path", None):
+            remove(df.sparkSession, path)
 
 
 def remove(spark: SparkSession, path: str) -> None:

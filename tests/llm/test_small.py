@@ -16,7 +16,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from docflow.llm import bpe, catalog, components, exact_dedup, licences, lm_score, near_dedup, packing, pii, quality, sharding, token_counts
+from docflow.llm import bpe, catalog, components, exact_dedup, licences, lm_score, near_dedup, packing, pii, quality, sharding, shared, token_counts
 
 MULTI, RANKS, PIECES = (public_tokenizers.path(n) for n in ("byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"))
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -375,7 +375,7 @@ def dedup_brute(rows, keep):
 @pytest.mark.parametrize("digest", [exact_dedup.sha256_digest, lambda t: t[:1]])
 def test_op5(docs, rows, keep, digest):
     groups, chosen = dedup_brute(rows, keep)
-    got = exact_dedup.resolve(docs, keep, digest=digest, bits=1 << 12, memtable=16).collect()
+    got = exact_dedup.resolve(docs, keep, digest=digest, memtable=16).collect()
     assert Counter((r.doc_id, r.keep_id, r.group_size) for r in got) == Counter((i, chosen[t or ""], len(groups[t or ""])) for i, t, *_ in rows)
     assert sum(r.kept for r in got) == len(groups)
     assert all(r.doc_id == r.keep_id for r in got if r.kept)
@@ -384,12 +384,32 @@ def test_op5(docs, rows, keep, digest):
 @pytest.mark.parametrize("keep", ["largest", "smallest"])
 def test_deduplicate(docs, rows, empty, keep):
     _, chosen = dedup_brute(rows, keep)
-    got = exact_dedup.deduplicate(docs, keep, bits=1 << 10)
+    got = exact_dedup.deduplicate(docs, keep)
     assert got.columns == docs.columns
     assert keyed(got.withColumn("text", F.coalesce("text", F.lit(""))), "doc_id", "text") == Counter((i, t) for t, i in chosen.items())
     assert exact_dedup.deduplicate(empty).count() == 0 and exact_dedup.resolve(empty).count() == 0
 
 
+def test_op5_runs(spark, docs, rows):
+    """Runs are sorted with one entry for each digest of a block; compaction merges them; only rows that have copies are sent."""
+    table = shared.numbered(exact_dedup.digested(docs.select("doc_id", "text"), "text"), "test-rows")
+    runs = exact_dedup.flush_runs(table, memtable=1 << 20)
+    entries = runs.collect()
+    assert len({(r.block, bytes(r.digest)) for r in entries}) == len(entries) and sum(r.n for r in entries) == len(rows)
+    index = exact_dedup.compacted(runs)
+    texts = Counter(t or "" for _, t, *_ in rows)
+    assert {bytes(r.digest): r.group_size for r in index.collect()} == {hashlib.sha256(t.encode()).digest(): n for t, n in texts.items()}
+    for part in index.withColumn("file", F.col("_metadata.file_path")).select("file", "digest").toPandas().groupby("file")["digest"]:
+        assert list(map(bytes, part[1])) == sorted(map(bytes, part[1]))
+    assert exact_dedup.copies(table).count() == sum(n for n in texts.values() if n > 1)
+    some = hashlib.sha256(b"").digest()
+    assert [r.group_size for r in exact_dedup.holding(index, [some, b"none"]).collect()] == [texts[""]]
+    with shared.by_block(spark):
+        facts = shared.located(spark.range(5).withColumnRenamed('id', shared.ROW))
+        plan = shared.at_rows(table, facts, "left_semi")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan  # the texts are not moved
+
+
 # 6 ---------------------------------------------------------------------------------------------------------------
 
 
