@@ -8,31 +8,48 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docflow.llm.shared import materialize
+from docflow.llm.shared import discard, materialize
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """edges(u, v), both directions. Large star: greater neighbours get the least of all; small star: the node and its smaller neighbours do."""
-    near = edges if large else edges.where("v < u")
-    least = materialize(near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "star-least")
-    joined = near.join(least, "u")
-    if large:
-        return joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+def _least(near: DataFrame) -> DataFrame:
+    return materialize(near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "star-least")
+
+
+def _large(both: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """both(u, v), in both directions. Every greater neighbour gets the least of the node and its neighbours."""
+    least = _least(both)
+    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), least
+
+
+def _small(both: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The node and its smaller neighbours get the least of them."""
+    near = both.where("v < u")
+    least = _least(near)
+    return near.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))), least
+
+
+def _mark(edges: DataFrame):
+    return edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, root (the least node of its component) for every node that has a link. links: a, b (long); loops and repeats do no harm."""
+    """node, root (the least node of its component) for every node that has a link. links: a, b (long); loops and repeats do no harm.
+
+    A table in the shared folder; the tables of its rounds are deleted as soon as the next one stands.
+    """
     edges = materialize(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "star-edges")
-    mark = None
-    while True:
+    mark, now = None, _mark(edges)
+    while now != mark:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lifted = materialize(_star(both, True).where("u != v").distinct(), "star-large")
+        stars, least = _large(both)
+        lifted = materialize(stars.where("u != v").distinct(), "star-large")
+        discard(least, edges)
         both = lifted.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        edges = materialize(_star(both, False).where("u != v").distinct(), "star-small")
-        now = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-        if now == mark:
-            break
-        mark = now
+        stars, least = _small(both)
+        edges = materialize(stars.where("u != v").distinct(), "star-small")
+        discard(least, lifted)
+        mark, now = now, _mark(edges)
     roots = edges.select(F.col("v").alias("node")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.withColumn("root", F.col("node")))
+    found = materialize(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.withColumn("root", F.col("node"))), "star-labels")
+    discard(edges)
+    return found

@@ -1,20 +1,23 @@
 """Near-duplicate detection: universal hash minima with banding, verification on full sets, and connected components.
 
-1. One pass makes each text's shingle set, its digest and a signature of minima under `BANDS * ROWS` universal hash
-   functions (a * x + b mod 2^64). Texts with equal sets form a class; only a class's representative goes on.
+1. One pass numbers the rows and makes each text's shingle set, its digest and a signature of minima under `BANDS * ROWS`
+   universal hash functions (a * x + b mod 2^64). Texts with equal sets form a class; only a class's representative (the
+   row of the least number) goes on, and only representatives that share a band are read back, by their row numbers.
 2. Classes that share a band's minima are candidates. Groups are never expanded into pairs: first every class is verified
    against one class, the least that leads any of its groups; then, where a group still holds several components, each
    member against the group's leader; then whatever group still holds several components is dealt into tiles, and pairs of
    tiles compare all members, first by signature, then on full sets, forgetting pairs that are connected already. The
-   tiles lose no link and give at most one link for each member.
+   tiles lose no link and give at most one link for each member. A group of n members that no link joins costs n * n
+   comparisons of signatures there, in tiles of bounded size.
 3. Links join into components by alternating large-star and small-star; labels are updated between the steps.
 
 A pair of similarity 0.75 shares no band with probability (1 - 0.75^4)^32 = 5e-6; the signature check before a full
 comparison asks for half of the minima, which a pair of 0.75 misses by more than six standard deviations.
 
 Defined results: null and empty texts, and texts without words, have no shingles and stand alone (component_id is their
-doc_id); repeated rows are linked; a row with null doc_id belongs to its class but gives no component_id, and stands
-alone (component_id null, kept) only if its component has no doc_id; an empty table gives an empty result.
+doc_id); texts of any length are taken whole; repeated rows are linked; a row with null doc_id belongs to its class but gives no component_id, and stands
+alone (component_id null, kept) only if its component has no doc_id; of rows that tie in doc_id the first written stands for the component; an empty table
+gives an empty result; other columns pass through whatever their names, but for those that begin with two underscores.
 """
 
 from __future__ import annotations
@@ -25,28 +28,25 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import types as T
 
 from docflow.llm.components import components
-from docflow.llm.shared import arrow_schema, id_of, materialize, slices, table_of, text_of, tidy
+from docflow.llm.shared import BLOCK, ROW, arrow_schema, at_rows, by_block, discard, id_of, located, materialize, numbered, slices, table_of, text_of, tidy
 
 WORDS = 5
 BANDS, ROWS = 32, 4
 #: Links: 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Bits of the filter of texts that are candidates: bounds what is broadcast (1 MiB).
-FILTER_BITS = 1 << 23
 #: Members of a tile, and bytes of its texts.
 TILE, TILE_BYTES = 512, 4 << 20
 #: Rows that one copy of a leader's set serves.
-SERVED = 128
+SERVED = 64
 BATCH_BYTES = 4 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)  # odd, from the golden ratio
 _random = np.random.default_rng(20)
 FACTORS = _random.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 TERMS = _random.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 
-SIGNED = table_of("row long, doc_id long, n_shingles long, text_key long, set_key binary, signature binary")
-
 
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * MIX
@@ -89,27 +89,25 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * common >= PERCENT * (len(a) + len(b) - common)
 
 
-def signed(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) with set sizes, digests and signatures: one narrow row each, in the shared folder."""
-    arrow = arrow_schema(SIGNED)
+def signed(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with __n (size of the shingle set), __set (its digest) and __signature; null where there are no shingles."""
+    source = docs if dict(docs.dtypes)[text] == "string" else docs.withColumn("__text", text_of(text))
+    read = text if source is docs else "__text"
+    schema = T.StructType([*source.schema.fields, *table_of("__n long, __set binary, __signature binary").fields])
+    arrow = arrow_schema(schema)
 
     def run(batches):
-        from pyspark import TaskContext
-
-        number = TaskContext.get().partitionId() << 40
         for whole in batches:
-            for batch in slices(whole, "text", BATCH_BYTES):
+            for batch in slices(whole, read, BATCH_BYTES):
                 sizes, sets, signatures = [], [], []
-                for text in batch.column("text").to_pylist():
-                    shingles = shingle_set(text)
+                for body in batch.column(batch.schema.get_field_index(read)).to_pylist():
+                    shingles = shingle_set(body or "")
                     sizes.append(len(shingles))
                     sets.append(xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None)
                     signatures.append(signature_of(shingles).tobytes() if len(shingles) else None)
-                n = batch.num_rows
-                yield pa.RecordBatch.from_arrays([pa.array(range(number, number + n), pa.int64()), batch.column("doc_id"), pa.array(sizes, pa.int64()), batch.column("text_key"), pa.array(sets, pa.binary()), pa.array(signatures, pa.binary())], schema=arrow)
-                number += n
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(signatures, pa.binary())], schema=arrow)
 
-    return materialize(docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(tidy(run), SIGNED), "near-signed")
+    return source.mapInArrow(tidy(run), schema).drop(*({"__text"} - set(docs.columns)))
 
 
 def banded(classes: DataFrame) -> DataFrame:
@@ -126,45 +124,11 @@ def banded(classes: DataFrame) -> DataFrame:
     return classes.select("node", "signature").mapInArrow(run, schema)
 
 
-def _bits_of(keys: DataFrame) -> bytes:
-    """A filter of fixed size over keys.text_key; each task sends one, and one row of that size comes to the driver from each of 8."""
-    schema = table_of("bits binary")
-    arrow = arrow_schema(schema)
-
-    def run(batches):
-        bits = np.zeros(FILTER_BITS, bool)
-        for batch in batches:
-            bits[batch.column(0).to_numpy().view(np.uint64) % np.uint64(FILTER_BITS)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], schema=arrow)
-
-    total = np.zeros(FILTER_BITS // 8, np.uint8)
-    for row in keys.select("text_key").repartition(8).mapInArrow(run, schema).toLocalIterator():
-        total |= np.frombuffer(row[0], np.uint8)
-    return total.tobytes()
-
-
-def _marked(docs: DataFrame, bits: bytes, inside: bool) -> DataFrame:
-    """The rows of docs(text_key, ...) whose text_key passes the filter, or does not."""
-    arrow = arrow_schema(docs.schema)
-
-    def run(batches):
-        kept = np.unpackbits(np.frombuffer(bits, np.uint8)).view(bool)
-        for batch in batches:
-            mask = kept[batch.column(0).to_numpy().view(np.uint64) % np.uint64(FILTER_BITS)] == inside
-            if mask.any():
-                yield pa.RecordBatch.from_arrays(batch.columns, schema=arrow).filter(pa.array(mask))
-
-    return docs.mapInArrow(tidy(run), docs.schema)
-
-
-def candidate_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, text for wanted(node, text_key). Only texts that pass a filter of fixed size are shuffled; copies combine first."""
-    found = _marked(docs.select(F.xxhash64("text").alias("text_key"), "text"), _bits_of(wanted), True).groupBy("text_key").agg(F.first("text").alias("text"))
-    return materialize(found.join(wanted, "text_key").select("node", "text"), "near-texts")
-
-
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """links a, b: the pairs (leader, node) that are confirmed on full sets. A leader's set is sent once for each SERVED rows."""
+    """links a, b: the pairs (leader, node) that are confirmed on full sets. A leader's set is sent once for each SERVED rows.
+
+    A leader's shares go to one task after the other, so that those of a hot leader are spread evenly.
+    """
     counted = materialize(pairs.groupBy("leader").agg(F.count("*").alias("n")).withColumn("shares", F.ceil(F.col("n") / SERVED).cast("int")), "near-shares")  # as a table, so that the join can be split at a leader of many
     served = pairs.join(counted, "leader").select("leader", "node", F.pmod(F.xxhash64("node"), F.col("shares")).cast("int").alias("share"))
     members = served.join(texts, "node").select("leader", "share", F.lit(1).alias("member"), "node", "text")
@@ -186,8 +150,12 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 if a:
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=arrow)
 
-    dealt = members.unionByName(leaders).repartition("leader", "share").sortWithinPartitions("leader", "share", "member")
-    return materialize(dealt.mapInArrow(tidy(run), schema), "near-links")
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    turn = F.pmod(F.xxhash64("leader") + F.col("share"), F.lit(tasks)).cast("int")
+    dealt = members.unionByName(leaders).repartitionById(tasks, turn).sortWithinPartitions("leader", "share", "member")
+    found = materialize(dealt.mapInArrow(tidy(run), schema), "near-links")
+    discard(counted)
+    return found
 
 
 def _labelled(frame: DataFrame, labels: DataFrame, node: str, root: str) -> DataFrame:
@@ -301,49 +269,72 @@ def tiled_links(buckets: DataFrame, classes: DataFrame, labels: DataFrame, texts
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=links)
 
     dealt = _tiles(held, again).repartition(*order).sortWithinPartitions(*order).select("key", "i", "j", "side", "node", "root", "signature", "text")
-    return materialize(dealt.mapInArrow(tidy(compare), schema), "near-tile-links")
+    found = materialize(dealt.mapInArrow(tidy(compare), schema), "near-tile-links")
+    discard(count, suspects, again)
+    return found
 
 
-def grouped(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Per row: row, doc_id, n_shingles, component_id, kept, text_key, first_row (the row that stands for its component)."""
-    narrow = docs.select(id_of(doc_id).alias("doc_id"), text_of(text).alias("text"))
-    rows = signed(narrow)
+def components_of(table: DataFrame, text: str = "text") -> DataFrame:
+    """Per row of a numbered table(doc_id, text, and the columns of `signed`): BLOCK, ROW, doc_id, n_shingles, component_id, first_row (the row that stands for its component)."""
+    spark = table.sparkSession
+    rows = table.select(BLOCK, ROW, "doc_id", F.col("__n").alias("n_shingles"), F.col("__set").alias("set_key"), F.col("__signature").alias("signature"))
     some = rows.where("set_key IS NOT NULL")
-    classes = materialize(some.groupBy("set_key").agg(F.min("row").alias("node"), F.min("doc_id").alias("least_doc"), F.min_by("text_key", "row").alias("text_key"), F.first("signature").alias("signature"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")), "near-classes")
+    classes = materialize(some.groupBy("set_key").agg(F.min(ROW).alias("node"), F.min("doc_id").alias("least_doc"), F.first("signature").alias("signature"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", F.col(ROW).alias("row"))).alias("first")), "near-classes")
     bands = materialize(banded(classes), "near-bands")
     leaders = materialize(bands.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").select("key", "leader"), "near-leaders")
     buckets = materialize(bands.join(leaders, "key").select("key", "node", "leader"), "near-buckets")
-    wanted = buckets.select("node").distinct().join(classes.select("node", "text_key"), "node")
-    texts = candidate_texts(narrow, wanted)
+    discard(bands, leaders)
+    with by_block(spark):  # only texts of candidates are read back, by their rows
+        wanted = located(buckets.select("node").distinct(), "node")
+        texts = materialize(at_rows(table.select(BLOCK, ROW, text_of(text).alias("text")), wanted, "left_semi").select(F.col(ROW).alias("node"), "text"), "near-texts")
     # first step: one leader for each class
-    pairs = buckets.groupBy("node").agg(F.min("leader").alias("leader")).where("node != leader")
-    links = verified(materialize(pairs, "near-pairs"), texts)
+    pairs = materialize(buckets.groupBy("node").agg(F.min("leader").alias("leader")).where("node != leader"), "near-pairs")
+    links = verified(pairs, texts)
     labels = components(links)
+    discard(pairs, links)
     # second step: the leaders of groups that still hold several components, where the signatures agree in half
     pairs = _labelled(_labelled(buckets.where("node != leader").select("node", "leader").distinct(), labels, "node", "p"), labels, "leader", "q").where("p != q").select("node", "leader")
     signature = classes.select("node", "signature")
     agreeing = F.size(F.filter(F.sequence(F.lit(0), F.lit(BANDS * ROWS - 1)), lambda i: F.substring(F.col("s"), i * 4 + 1, F.lit(4)) == F.substring(F.col("t"), i * 4 + 1, F.lit(4))))
     both = pairs.join(signature.withColumnRenamed("signature", "s"), "node").join(signature.select(F.col("node").alias("leader"), F.col("signature").alias("t")), "leader")
-    links = links.unionByName(verified(materialize(both.where(agreeing >= BANDS * ROWS // 2).select("node", "leader"), "near-pairs"), texts))
-    labels = components(links)
+    pairs = materialize(both.where(agreeing >= BANDS * ROWS // 2).select("node", "leader"), "near-pairs")
+    labels = _joined(labels, verified(pairs, texts))
     # third step: all members against all others, in tiles, where groups are still open
-    more = tiled_links(buckets.select("key", "node"), classes, labels, texts)
-    if not more.isEmpty():
-        labels = components(links.unionByName(more))
+    labels = _joined(labels, tiled_links(buckets.select("key", "node"), classes, labels, texts))
+    discard(pairs, buckets, texts)
     labelled = _labelled(classes, labels, "node", "root")
     least = materialize(labelled.groupBy("root").agg(F.min("least_doc").alias("component_id"), F.min("first").alias("first")), "near-components")
-    known = materialize(labelled.join(least.withColumnRenamed("first", "first_row"), "root").select("set_key", "component_id", F.col("first_row.row").alias("first_row")), "near-known")
-    single = rows.where("set_key IS NULL").select("row", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_key", F.col("row").alias("first_row"))
-    return some.join(known, "set_key").select(single.columns).unionByName(single).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    known = materialize(labelled.join(least.withColumnRenamed("first", "first_row"), "root").select("set_key", "component_id", F.col("first_row.row").alias("first_row")), "near-known")  # as a table, so that the join can be split at a set of many rows
+    discard(least, labels, classes)
+    single = rows.where("set_key IS NULL").select(BLOCK, ROW, "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col(ROW).alias("first_row"))
+    found = materialize(some.join(known, "set_key").select(single.columns).unionByName(single), "near-found")
+    discard(known)
+    return found
+
+
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels after further links; a component counts as a star around its root. Without links nothing is done."""
+    if links.isEmpty():
+        discard(links)
+        return labels
+    found = components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
+    discard(labels, links)
+    return found
+
+
+def grouped(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Per row: row, doc_id, n_shingles, component_id, kept, first_row (the row that stands for its component)."""
+    table = numbered(signed(docs.select(id_of(doc_id).alias("doc_id"), text_of(text).alias("text"))), "near-rows")
+    found = components_of(table)
+    discard(table)
+    return found.select(F.col(ROW).alias("row"), "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "first_row")
 
 
 def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row of each component, with the columns of docs: of the smallest doc_id. Only texts of components are shuffled."""
-    found = materialize(grouped(docs, text, doc_id), "near-found")
-    goes = found.where("row != first_row").select("text_key")
-    stays = found.where("row = first_row").select("text_key", F.col("doc_id").alias("__kept")).distinct()
-    bits = _bits_of(goes)
-    named = docs.select(F.xxhash64(text_of(text)).alias("__key"), F.struct(*docs.columns).alias("__row"))
-    same = _marked(named, bits, True).withColumn("__id", id_of(f"__row.{doc_id}")).join(stays, (F.col("__key") == F.col("text_key")) & F.col("__id").eqNullSafe(F.col("__kept")), "left_semi")
-    single = same.groupBy("__key", "__id").agg(F.first("__row").alias("__row"))  # rows that tie in text and doc_id
-    return _marked(named, bits, False).select("__row.*").unionByName(single.select("__row.*"))
+    """One row of each component, with the columns of docs: of the smallest doc_id. Only texts of candidates are shuffled."""
+    table = numbered(signed(docs.withColumn("__id", id_of(doc_id)), text), "near-rows")
+    found = components_of(table.select(BLOCK, ROW, F.col("__id").alias("doc_id"), F.col(text).alias("__body"), "__n", "__set", "__signature"), "__body")
+    with by_block(docs.sparkSession):
+        result = materialize(at_rows(table, found.where(F.col(ROW) == F.col("first_row")).select(BLOCK, ROW), "left_semi").select(docs.columns), "near-kept")
+    discard(table, found)
+    return result
