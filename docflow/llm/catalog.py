@@ -59,7 +59,7 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docflow.llm import quality
 
-    return quality.measure(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+    return quality.measure(_documents(spark, sf_dir), [public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")])
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

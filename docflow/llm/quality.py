@@ -1,82 +1,66 @@
 """Quality rules by tokeniser fertility.
 
-A public subword vocabulary measures each text: characters per token, the share of tokens that fall back to single
-bytes, and the entropy of the text's tokens. Each measure has a rejection band for the text's language or, where the
-language is not among them, for its script. Entropy grows with a text's length, so its floor is given by number of tokens.
-The base rules (too few words, too many repeated three-word windows) come
-first. Words go through a bounded cache of their tokens; whole texts are measured, one row at a time in a task, so
-nothing is shuffled and memory is bounded by a batch.
-
-Defined results: null and empty texts have no words and fail the base rules; a text without tokens is not measured; a
-null or unknown language gets the band of its script; repeated rows are judged alike.
+Public vocabularies measure each text: characters per token, the share of tokens that fall back to single bytes, and the
+entropy of the text's tokens. Each measure has a rejection band, which the corpus itself sets: the quartiles of all
+distinct measures of texts that pass the base rules, by language and octave of token numbers (entropy grows with length),
+and fences beyond them by multiples of the distance between the quartiles. An octave with too few texts (SUPPORT) has the
+band of the next shorter one, whose entropy is no higher. A language without any such band takes that of its script, then
+that of the whole corpus, and where there is none, the script's fixed limits.
+The base rules (too few words, too many repeated three-word windows) come first.
+
+The first pass goes through the texts, with a bounded cache of words' tokens, and writes narrow rows (or, in `keep`, the
+documents with their measures); quartiles are mergeable sketches of fixed size, combined in each task; the bands are one
+row for each language and octave, joined back. Texts are not shuffled.
+
+Defined results: null and empty texts have no words and fail the base rules; a text without tokens is not measured; texts
+of any length are measured whole; a null or unknown language gets the band of its script; repeated rows are judged alike and
+count once for the quartiles; a measure that lies on a fence is kept; an empty table gives an empty result; other columns
+pass through whatever their names, but for those that begin with two underscores.
 """
 
 from __future__ import annotations
 
 import itertools
 from collections import Counter
-from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docflow.llm.shared import arrow_schema, id_of, slices, table_of, text_of, tidy
+from docflow.llm.shared import arrow_schema, discard, id_of, materialize, slices, table_of, text_of, tidy
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\v\f\r"
 BATCH_BYTES = 4 << 20
 CACHE_WORDS = 200_000
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
-
-
-#: Numbers of tokens at which bands give their entropy floor; between them it runs straight over the logarithm.
-FLOOR_TOKENS = (32, 64, 128, 256, 512, 1024, 2048, 4096)
-
-
-@dataclass(frozen=True)
-class Band:
-    """A text is kept while all three measures lie within these bounds."""
-
-    least_chars_per_token: float
-    most_chars_per_token: float
-    most_byte_share: float
-    least_entropy: tuple[float, ...]  # at FLOOR_TOKENS
-
-    def holds(self, n_tokens: int, chars_per_token: float, byte_share: float, entropy: float) -> bool:
-        floor = np.interp(np.log2(n_tokens), np.log2(FLOOR_TOKENS), self.least_entropy)
-        return bool(self.least_chars_per_token <= chars_per_token <= self.most_chars_per_token and byte_share <= self.most_byte_share and entropy >= floor)
-
-
-# Set from the measures of all 10,000 documents of sf0.1 that pass the base rules. The entropy floors lie where clean texts
-# and symbol junk (7.7% of all) part at each length, near the least value of clean texts; the least characters per token are below all
-# but a few clean texts. No document had a byte token. The corpus has no text of under 100 tokens, so the first two floors
-# carry the slope on, and its words are invented: natural prose has 4 characters a token or more, hence the upper bounds.
-#: By language, as a lower-case code.
-BANDS = {
-    "en": Band(1.73, 6.5, 0.05, (4.00, 4.85, 5.49, 5.93, 6.23, 6.47, 6.59, 6.62)),
-    "de": Band(1.99, 6.5, 0.05, (4.00, 4.85, 5.38, 5.84, 6.19, 6.30, 6.46, 6.46)),
-    "fr": Band(1.56, 6.5, 0.05, (4.00, 4.85, 5.45, 5.80, 6.13, 6.27, 6.37, 6.40)),
-    "es": Band(1.71, 6.5, 0.05, (4.00, 4.85, 5.31, 5.77, 6.12, 6.39, 6.41, 6.61)),
-}
-#: By script, for other languages: latin from the four languages together; of the others the corpus has no text to set them by.
-SCRIPT_BANDS = {
-    "latin": Band(1.2, 7.0, 0.35, (4.00, 4.85, 5.45, 5.82, 6.11, 6.37, 6.44, 6.54)),
-    "cyrillic": Band(0.9, 6.0, 0.35, (3.5,) * 8),
-    "greek": Band(0.6, 5.0, 0.60, (3.0,) * 8),
-    "cjk": Band(0.3, 3.0, 0.95, (2.5,) * 8),
-    "other": Band(0.2, 8.0, 0.60, (2.5,) * 8),
-}
+#: Distinct texts that a language (or script) needs in an octave to have a band of its own.
+SUPPORT = 30
+#: The last octave of token numbers that has a band.
+OCTAVES = 40
+#: Fences: how many distances between the quartiles lie beyond them, and the least distance that is counted, so that many near copies cannot close a band.
+REACH = {"chars_per_token": 4.0, "byte_share": 4.0, "entropy": 2.5}
+LEAST_SPREAD = {"chars_per_token": 0.05, "byte_share": 0.0125, "entropy": 0.1}
+#: Limits where the corpus has too few texts to set any, by script: least and most characters per token, most byte share, least entropy.
+LIMITS = {"latin": (1.2, 7.0, 0.35, 3.5), "cyrillic": (0.9, 6.0, 0.35, 3.5), "greek": (0.6, 5.0, 0.60, 3.0), "cjk": (0.3, 3.0, 0.95, 2.5), "other": (0.2, 8.0, 0.60, 2.5)}
 # Blocks of the scripts above, as inclusive ranges of code points.
 SCRIPT_RANGES = (("latin", 0x41, 0x24F), ("latin", 0x1E00, 0x1EFF), ("greek", 0x370, 0x3FF), ("cyrillic", 0x400, 0x52F), ("cjk", 0x3040, 0x30FF), ("cjk", 0x3400, 0x9FFF), ("cjk", 0xAC00, 0xD7AF))
 
-MEASURES = table_of("doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_tokens long, chars_per_token double, byte_share double, token_entropy double")
+BASE = table_of("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, script string")
+OF_VOCABULARY = table_of("n_tokens long, chars_per_token double, byte_share double, entropy double")
+
+
+def measures_of(vocabularies: int) -> T.StructType:
+    """The columns that a text's measures have: BASE, and OF_VOCABULARY for each vocabulary, numbered from 1."""
+    return T.StructType([*BASE.fields, *(T.StructField(f"{f.name}_{k + 1}", f.dataType) for k in range(vocabularies) for f in OF_VOCABULARY)])
 
 
 def script_of(text: str) -> str:
+    if text.isascii():
+        return "latin" if text.lower() != text.upper() else "other"
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     counts = Counter()
     for script, first, last in SCRIPT_RANGES:
@@ -86,13 +70,26 @@ def script_of(text: str) -> str:
 
 
 class Fertility:
-    """Tokens of words by one vocabulary, remembered up to a bound; one instance lives in each Python worker."""
+    """Tokens of words by one vocabulary (a sentencepiece model, or tiktoken ranks), remembered up to a bound; one instance lives in each Python worker."""
 
     def __init__(self, path: str):
-        import sentencepiece
-
-        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.is_byte = np.array([self.model.is_byte(i) for i in range(self.model.vocab_size())])
+        if path.endswith(".tiktoken"):
+            import public_tokenizers
+            import tiktoken
+
+            from docflow.llm.bpe import load_ranks
+
+            ranks = load_ranks(path)
+            model = tiktoken.Encoding("fertility", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self.encode = lambda words: [model.encode_ordinary(f" {w}") for w in words]
+            self.is_byte = np.zeros(max(ranks.values(), default=-1) + 1, bool)
+            self.is_byte[[i for piece, i in ranks.items() if len(piece) == 1 and piece[0] > 127]] = True
+        else:
+            import sentencepiece
+
+            model = sentencepiece.SentencePieceProcessor(model_file=path)
+            self.encode = lambda words: model.encode(words, num_threads=1)
+            self.is_byte = np.array([model.is_byte(i) for i in range(model.vocab_size())])
         self.forget()
 
     def forget(self) -> None:
@@ -106,7 +103,7 @@ class Fertility:
         new = [w for w in words if w not in self.index]
         if not new:
             return
-        found = self.model.encode([w.decode("utf-8", "surrogatepass") for w in new], num_threads=1)
+        found = self.encode([w.decode("utf-8", "surrogatepass") for w in new])
         self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
         self.pool = np.concatenate([self.pool, np.fromiter(itertools.chain.from_iterable(found), np.int32)])
         self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))])
@@ -122,7 +119,7 @@ class Fertility:
         return self.pool[at]
 
 
-@lru_cache(2)
+@lru_cache(4)
 def fertility(path: str) -> Fertility:
     return Fertility(path)
 
@@ -150,61 +147,119 @@ def repeated_words(numbers: np.ndarray) -> int:
     return int(marked.sum())
 
 
-def judged_all(texts: list[str], langs: list[str | None], vocabulary: Fertility) -> list[tuple]:
-    """MEASURES without doc_id for each text of a batch."""
+def measured_all(texts: list[str], vocabularies: list[Fertility]) -> list[tuple]:
+    """The measures of each text of a batch."""
     split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-    vocabulary.learn(set(itertools.chain.from_iterable(split)))
-    return [_judged(t, w, g, vocabulary) for t, w, g in zip(texts, split, langs)]
+    words = set(itertools.chain.from_iterable(split))
+    for vocabulary in vocabularies:
+        vocabulary.learn(words)
+    return [_measured(t, w, vocabularies) for t, w in zip(texts, split)]
 
 
-def judged(text: str, lang: str | None, vocabulary: Fertility) -> tuple:
-    return judged_all([text], [lang], vocabulary)[0]
-
-
-def _judged(text: str, words: list[bytes], lang: str | None, vocabulary: Fertility) -> tuple:
-    raw = text.encode("utf-8", "surrogatepass")
+def _measured(text: str, words: list[bytes], vocabularies: list[Fertility]) -> tuple:
     n = len(words)
+    if not n:
+        return 0, 0, 0, 0, 0, True, "other", *(0, None, None, None) * len(vocabularies)
+    raw = text.encode("utf-8", "surrogatepass")
     word_chars = len(text) - (len(raw) - len(raw.translate(None, SPACES)))
     n_symbols = len(raw) - len(raw.translate(None, SYMBOLS))
     duplicates = sum(k - 1 for line, k in Counter(text.split("\n")).items() if k > 1 and line.encode("utf-8", "surrogatepass").split())
-    if not n:
-        return 0, 0, 0, 0, 0, True, False, 0, None, None, None
-    numbers = vocabulary.words(words)
-    repeated = repeated_words(numbers)
-    tokens = vocabulary.tokens(numbers)
-    counts = np.unique(tokens, return_counts=True)[1] / len(tokens)
-    per_token, byte_share, entropy = word_chars / len(tokens), float(vocabulary.is_byte[tokens].mean()), float(-(counts * np.log2(counts)).sum())
-    failed = n < MIN_WORDS or 100 * repeated > MAX_REPEATED_PERCENT * n
-    band = BANDS.get((lang or "").lower()) or SCRIPT_BANDS[script_of(text)]
-    kept = not failed and band.holds(len(tokens), per_token, byte_share, entropy)
-    return n, word_chars, n_symbols, duplicates, repeated, failed, kept, len(tokens), per_token, byte_share, entropy
-
-
-def measure(docs: DataFrame, vocabulary_path: str, text: str = "text", doc_id: str = "doc_id", lang: str = "lang") -> DataFrame:
-    """The columns of MEASURES, one row for each row of docs."""
-    arrow = arrow_schema(MEASURES)
+    repeated = repeated_words(vocabularies[0].words(words))
+    found = []
+    for vocabulary in vocabularies:
+        tokens = vocabulary.tokens(vocabulary.words(words))
+        if not len(tokens):
+            found += [0, None, None, None]
+            continue
+        shares = np.unique(tokens, return_counts=True)[1] / len(tokens)
+        found += [len(tokens), word_chars / len(tokens), float(vocabulary.is_byte[tokens].mean()), float(-(shares * np.log2(shares)).sum())]
+    return n, word_chars, n_symbols, duplicates, repeated, n < MIN_WORDS or 100 * repeated > MAX_REPEATED_PERCENT * n, script_of(text), *found
+
+
+def measured(docs: DataFrame, vocabulary_paths: list[str], text: str, prefix: str = "", carried: list[str] | None = None) -> DataFrame:
+    """The carried columns (default: all) of docs, and each text's measures."""
+    source = docs if dict(docs.dtypes)[text] == "string" else docs.withColumn("__text", text_of(text))
+    read = text if source is docs else "__text"
+    carried = docs.columns if carried is None else carried
+    added = measures_of(len(vocabulary_paths))
+    schema = T.StructType([*(source.schema[c] for c in carried), *(T.StructField(f"{prefix}{f.name}", f.dataType) for f in added)])
+    arrow, types = arrow_schema(schema), list(arrow_schema(added).types)
 
     def run(batches):
-        vocabulary = fertility(vocabulary_path)
+        vocabularies = [fertility(p) for p in vocabulary_paths]
         for whole in batches:
-            for batch in slices(whole, "text", BATCH_BYTES):
-                rows = judged_all(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), vocabulary)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, f.type) for x, f in zip(zip(*rows), list(arrow)[1:]))], schema=arrow)
-
-    language = F.col(lang).cast("string") if lang in docs.columns else F.lit(None).cast("string")
-    return docs.select(id_of(doc_id).alias("doc_id"), text_of(text).alias("text"), language.alias("lang")).mapInArrow(tidy(run, fertility.cache_clear), MEASURES)
-
-
-def keep(docs: DataFrame, vocabulary_path: str, text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows of docs that pass, with the columns of docs; the text is measured where it lies, without a join."""
-    schema = docs.withColumn("__text", text_of(text)).schema
-
-    def run(batches):
-        vocabulary = fertility(vocabulary_path)
-        for whole in batches:
-            for batch in slices(whole, "__text", BATCH_BYTES):
-                column = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-                langs = column[lang].to_pylist() if lang in column else [None] * batch.num_rows
-                yield batch.filter(pa.array([r[6] for r in judged_all(column["__text"].to_pylist(), langs, vocabulary)], pa.bool_()))
-
-    return docs.withColumn("__text", text_of(text)).mapInArrow(tidy(run, fertility.cache_clear), schema).drop("__text")
+            for batch in slices(whole, read, BATCH_BYTES):
+                column = dict(zip(batch.schema.names, batch.columns))
+                rows = measured_all([t or "" for t in column[read].to_pylist()], vocabularies)
+                yield pa.RecordBatch.from_arrays([*(column[c] for c in carried), *(pa.array(x, t) for x, t in zip(zip(*rows), types))], schema=arrow)
+
+    return source.mapInArrow(tidy(run, fertility.cache_clear), schema)
+
+
+def _octave(prefix: str = "") -> Column:
+    return F.floor(F.log2(F.col(f"{prefix}n_tokens_1"))).cast("int")
+
+
+def bands(rows: DataFrame, vocabularies: int) -> DataFrame:
+    """level (a language "l:en", a script "s:latin", or "*"), octave, band (the fences of each measure: least_*, most_*). rows: lang and measures."""
+    names = [f"{m}_{k + 1}" for k in range(vocabularies) for m in REACH]
+    told = rows.where(~F.col("base_failed") & (F.col("n_tokens_1") > 0)).select("lang", "script", _octave().alias("octave"), *names).distinct()
+    levels = F.array(F.concat(F.lit("l:"), F.lower("lang")), F.concat(F.lit("s:"), "script"), F.lit("*"))
+    each = told.select(F.explode(levels).alias("level"), "octave", *names).where("level IS NOT NULL")
+    quartiles = each.groupBy("level", "octave").agg(F.count("*").alias("n"), *(F.percentile_approx(c, [0.25, 0.75], 10_000).alias(c) for c in names)).where(F.col("n") >= SUPPORT)
+
+    def fence(name: str, upper: bool) -> Column:
+        measure = name.rsplit("_", 1)[0]
+        spread = F.greatest(F.col(name)[1] - F.col(name)[0], F.lit(LEAST_SPREAD[measure])) * REACH[measure]
+        return F.col(name)[1] + spread if upper else F.col(name)[0] - spread
+
+    own = quartiles.select("level", "octave", F.struct(*(fence(c, False).alias(f"least_{c}") for c in names), *(fence(c, True).alias(f"most_{c}") for c in names)).alias("band"))
+    every = own.select("level").distinct().select("level", F.explode(F.sequence(F.lit(0), F.lit(OCTAVES))).alias("octave"))
+    shorter = Window.partitionBy("level").orderBy("octave")  # one row for each octave
+    return every.join(own, ["level", "octave"], "left").select("level", "octave", F.last("band", True).over(shorter).alias("band")).where("band IS NOT NULL")
+
+
+def judged(rows: DataFrame, fences: DataFrame, vocabularies: int, prefix: str = "", lang: str = "lang") -> DataFrame:
+    """rows with __kept. Bands of the language come before those of its script, and those before the corpus's; the fixed limits are last."""
+    names = [f"{m}_{k + 1}" for k in range(vocabularies) for m in REACH]
+    keys = {"__l": F.concat(F.lit("l:"), F.lower(F.col(lang))), "__s": F.concat(F.lit("s:"), F.col(f"{prefix}script")), "__a": F.lit("*")}
+    found = rows.withColumn("__octave", _octave(prefix))
+    for name, key in keys.items():
+        found = found.withColumn("__level", key).join(fences.select(F.col("level").alias("__level"), F.col("octave").alias("__octave"), F.col("band").alias(name)), ["__level", "__octave"], "left").drop("__level")
+    of_script = F.create_map(*(x for script, limits in LIMITS.items() for x in (F.lit(script), F.array(*map(F.lit, limits)))))
+    found = found.withColumn("__band", F.coalesce(*map(F.col, keys))).withColumn("__limits", of_script[F.col(f"{prefix}script")])
+    good = ~F.col(f"{prefix}base_failed")
+    for c in names:
+        value, measure = F.col(f"{prefix}{c}"), c.rsplit("_", 1)[0]
+        low = {"chars_per_token": F.col("__limits")[0], "entropy": F.col("__limits")[3]}.get(measure)
+        high = {"chars_per_token": F.col("__limits")[1], "byte_share": F.col("__limits")[2]}.get(measure)
+        if low is not None:
+            good &= value >= F.coalesce(F.col("__band")[f"least_{c}"], low)
+        if high is not None:
+            good &= value <= F.coalesce(F.col("__band")[f"most_{c}"], high)
+    return found.withColumn("__kept", F.coalesce(good, F.lit(False))).drop(*keys, "__octave", "__band", "__limits")
+
+
+def _language(docs: DataFrame, lang: str) -> Column:
+    return F.col(lang).cast("string") if lang in docs.columns else F.lit(None).cast("string")
+
+
+def measure(docs: DataFrame, vocabulary_paths: list[str], text: str = "text", doc_id: str = "doc_id", lang: str = "lang") -> DataFrame:
+    """Per row: doc_id, the base columns, kept, script and the measures of each vocabulary."""
+    n = len(vocabulary_paths)
+    rows = docs.select(id_of(doc_id).alias("doc_id"), _language(docs, lang).alias("lang"), text_of(text).alias("text"))
+    rows = materialize(measured(rows, vocabulary_paths, "text", carried=["doc_id", "lang"]), "quality-measures")
+    fences = materialize(bands(rows, n), "quality-bands")
+    names = measures_of(n).names
+    return judged(rows, fences, n).select("doc_id", *names[:6], F.col("__kept").alias("kept"), *names[6:])
+
+
+def keep(docs: DataFrame, vocabulary_paths: list[str], text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of docs that pass, with the columns of docs; the text is measured where it lies."""
+    n = len(vocabulary_paths)
+    rows = materialize(measured(docs.withColumn("__lang", _language(docs, lang)), vocabulary_paths, text, "__"), "quality-rows")
+    narrow = rows.select(F.col("__lang").alias("lang"), *(F.col(f"__{c}").alias(c) for c in measures_of(n).names))
+    fences = materialize(bands(narrow, n), "quality-bands")
+    result = materialize(judged(rows, fences, n, "__", "__lang").where("__kept").select(docs.columns), "quality-kept")
+    discard(rows, fences)
+    return result
