@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from pyspark.sql import types as T
 
 from docflow.llm.components import components
-from docflow.llm.shared import BLOCK, ROW, arrow_schema, at_rows, by_block, discard, id_of, located, materialize, numbered, slices, table_of, text_of, tidy
+from docflow.llm.shared import BLOCK, ROW, arrow_schema, at_rows, by_block, discard, id_of, in_blocks, located, materialize, numbered, slices, table_of, text_of, tidy
 
 WORDS = 5
 BANDS, ROWS = 32, 4
@@ -131,8 +131,10 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """
     counted = materialize(pairs.groupBy("leader").agg(F.count("*").alias("n")).withColumn("shares", F.ceil(F.col("n") / SERVED).cast("int")), "near-shares")  # as a table, so that the join can be split at a leader of many
     served = pairs.join(counted, "leader").select("leader", "node", F.pmod(F.xxhash64("node"), F.col("shares")).cast("int").alias("share"))
-    members = served.join(texts, "node").select("leader", "share", F.lit(1).alias("member"), "node", "text")
-    leaders = counted.join(texts, counted["leader"] == texts["node"]).select("leader", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("member"), F.col("leader").alias("node"), "text")
+    # who is compared with whom goes to the blocks of the texts, which move once: to their leader's task
+    members = at_rows(texts, located(served, "node"), "inner").select("leader", "share", F.lit(1).alias("member"), F.col(ROW).alias("node"), "text")
+    shares = located(counted.select("leader", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share")), "leader")
+    leaders = at_rows(texts, shares, "inner").select(F.col(ROW).alias("leader"), "share", F.lit(0).alias("member"), F.col(ROW).alias("node"), "text")
     schema = table_of("a long, b long")
     arrow = arrow_schema(schema)
 
@@ -153,7 +155,8 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     turn = F.pmod(F.xxhash64("leader") + F.col("share"), F.lit(tasks)).cast("int")
     dealt = members.unionByName(leaders).repartitionById(tasks, turn).sortWithinPartitions("leader", "share", "member")
-    found = materialize(dealt.mapInArrow(tidy(run), schema), "near-links")
+    with by_block(pairs.sparkSession):
+        found = materialize(dealt.mapInArrow(tidy(run), schema), "near-links")
     discard(counted)
     return found
 
@@ -237,9 +240,11 @@ def tiled_links(buckets: DataFrame, classes: DataFrame, labels: DataFrame, texts
     order = ["key", "i", "j"]
     screened = _tiles(members, count).repartition(*order).sortWithinPartitions(*order)
     suspects = materialize(screened.select("key", "i", "j", "side", "node", "root", "signature").mapInArrow(tidy(screen), found).distinct(), "near-suspects")
-    sized = suspects.join(texts.select("node", F.length("text").alias("size")), "node").groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
-    again = materialize(sized.select("key", F.greatest(F.ceil(F.col("n") / TILE), F.ceil(F.col("size") / TILE_BYTES)).cast("int").alias("tiles")), "near-again")
-    held = _labelled(suspects, labels, "node", "root").join(classes.select("node", "signature"), "node").join(texts, "node").select("key", "node", "root", "signature", "text")
+    sized = at_rows(texts.select(BLOCK, ROW, F.length("text").alias("size")), located(suspects, "node"), "inner").groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    with by_block(buckets.sparkSession):
+        again = materialize(sized.select("key", F.greatest(F.ceil(F.col("n") / TILE), F.ceil(F.col("size") / TILE_BYTES)).cast("int").alias("tiles")), "near-again")
+    named = _labelled(suspects, labels, "node", "root").join(classes.select("node", "signature"), "node")
+    held = at_rows(texts, located(named, "node"), "inner").select("key", F.col(ROW).alias("node"), "root", "signature", "text")
     schema = table_of("a long, b long")
     links = arrow_schema(schema)
 
@@ -269,12 +274,13 @@ def tiled_links(buckets: DataFrame, classes: DataFrame, labels: DataFrame, texts
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=links)
 
     dealt = _tiles(held, again).repartition(*order).sortWithinPartitions(*order).select("key", "i", "j", "side", "node", "root", "signature", "text")
-    found = materialize(dealt.mapInArrow(tidy(compare), schema), "near-tile-links")
+    with by_block(buckets.sparkSession):
+        found = materialize(dealt.mapInArrow(tidy(compare), schema), "near-tile-links")
     discard(count, suspects, again)
     return found
 
 
-def components_of(table: DataFrame, text: str = "text") -> DataFrame:
+def components_of(table: DataFrame, n_blocks: int, text: str = "text") -> DataFrame:
     """Per row of a numbered table(doc_id, text, and the columns of `signed`): BLOCK, ROW, doc_id, n_shingles, component_id, first_row (the row that stands for its component)."""
     spark = table.sparkSession
     rows = table.select(BLOCK, ROW, "doc_id", F.col("__n").alias("n_shingles"), F.col("__set").alias("set_key"), F.col("__signature").alias("signature"))
@@ -286,7 +292,7 @@ def components_of(table: DataFrame, text: str = "text") -> DataFrame:
     discard(bands, leaders)
     with by_block(spark):  # only texts of candidates are read back, by their rows
         wanted = located(buckets.select("node").distinct(), "node")
-        texts = materialize(at_rows(table.select(BLOCK, ROW, text_of(text).alias("text")), wanted, "left_semi").select(F.col(ROW).alias("node"), "text"), "near-texts")
+        texts = in_blocks(at_rows(table.select(BLOCK, ROW, text_of(text).alias("text")), wanted, "left_semi"), "near-texts", n_blocks)
     # first step: one leader for each class
     pairs = materialize(buckets.groupBy("node").agg(F.min("leader").alias("leader")).where("node != leader"), "near-pairs")
     links = verified(pairs, texts)
@@ -325,7 +331,7 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
 def grouped(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Per row: row, doc_id, n_shingles, component_id, kept, first_row (the row that stands for its component)."""
     table = numbered(signed(docs.select(id_of(doc_id).alias("doc_id"), text_of(text).alias("text"))), "near-rows")
-    found = components_of(table)
+    found = components_of(table, table._buckets)
     discard(table)
     return found.select(F.col(ROW).alias("row"), "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "first_row")
 
@@ -333,7 +339,7 @@ def grouped(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
 def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row of each component, with the columns of docs: of the smallest doc_id. Only texts of candidates are shuffled."""
     table = numbered(signed(docs.withColumn("__id", id_of(doc_id)), text), "near-rows")
-    found = components_of(table.select(BLOCK, ROW, F.col("__id").alias("doc_id"), F.col(text).alias("__body"), "__n", "__set", "__signature"), "__body")
+    found = components_of(table.select(BLOCK, ROW, F.col("__id").alias("doc_id"), F.col(text).alias("__body"), "__n", "__set", "__signature"), table._buckets, "__body")
     with by_block(docs.sparkSession):
         result = materialize(at_rows(table, found.where(F.col(ROW) == F.col("first_row")).select(BLOCK, ROW), "left_semi").select(docs.columns), "near-kept")
     discard(table, found)

@@ -47,17 +47,20 @@ def numbered(docs: DataFrame, name: str, compression: str = "zstd") -> DataFrame
 
     What is found out about some rows is sent to the rows' blocks (see `at_rows`), however large those are.
     """
-    spark = docs.sparkSession
-    path = fresh_path(spark, name)
-    table = path.rsplit("/", 1)[1].replace("-", "_")
-    cores, size = spark.sparkContext.defaultParallelism, int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cores, size = docs.sparkSession.sparkContext.defaultParallelism, int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     # by the planner's estimate of the size, where it has one; a block is about as large as a file split
     buckets = min(100_000, 32 * cores, max(4 * cores, size >> 25 if size < 1 << 60 else 0))
-    kept = docs.withColumn(ROW, F.monotonically_increasing_id()).withColumn(BLOCK, F.spark_partition_id())
+    return in_blocks(docs.withColumn(ROW, F.monotonically_increasing_id()).withColumn(BLOCK, F.spark_partition_id()), name, buckets, compression)
+
+
+def in_blocks(rows: DataFrame, name: str, buckets: int, compression: str = "zstd") -> DataFrame:
+    """rows(BLOCK, ROW, ...), which lie by block already, as a table with as many buckets."""
+    spark, path = rows.sparkSession, fresh_path(rows.sparkSession, name)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
     with settings(spark, spark__sql__maxConcurrentOutputFileWriters="2"):  # a task has one bucket only, so it need not sort
-        kept.write.bucketBy(buckets, BLOCK).option("path", path).option("compression", compression).saveAsTable(table)
+        rows.write.bucketBy(buckets, BLOCK).option("path", path).option("compression", compression).saveAsTable(table)
     found = spark.table(table)
-    found._table, found._path = table, path
+    found._table, found._path, found._buckets = table, path, buckets
     return found
 
 
