@@ -9,8 +9,8 @@ that of the whole corpus, and where there is none, the script's fixed limits.
 The base rules (too few words, too many repeated three-word windows) come first.
 
 The first pass goes through the texts, with a bounded cache of words' tokens, and writes narrow rows (or, in `keep`, the
-documents with their measures); quartiles are mergeable sketches of fixed size, combined in each task; the bands are one
-row for each language and octave, joined back. Texts are not shuffled.
+documents with their measures); quartiles come from histograms in steps of a thousandth, combined in each task; the bands
+are one row for each language and octave, joined back. Texts are not shuffled.
 
 Defined results: null and empty texts have no words and fail the base rules; a text without tokens is not measured; texts
 of any length are measured whole; a null or unknown language gets the band of its script; repeated rows are judged alike and
@@ -39,6 +39,8 @@ CACHE_WORDS = 200_000
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 #: Distinct texts that a language (or script) needs in an octave to have a band of its own.
 SUPPORT = 30
+#: Steps of the histograms to 1 (a bit, a character, the whole share).
+STEPS = 1000
 #: The last octave of token numbers that has a band.
 OCTAVES = 40
 #: Fences: how many distances between the quartiles lie beyond them, and the least distance that is counted, so that many near copies cannot close a band.
@@ -205,8 +207,15 @@ def bands(rows: DataFrame, vocabularies: int) -> DataFrame:
     names = [f"{m}_{k + 1}" for k in range(vocabularies) for m in REACH]
     told = rows.where(~F.col("base_failed") & (F.col("n_tokens_1") > 0)).select("lang", "script", _octave().alias("octave"), *names).distinct()
     levels = F.array(F.concat(F.lit("l:"), F.lower("lang")), F.concat(F.lit("s:"), "script"), F.lit("*"))
-    each = told.select(F.explode(levels).alias("level"), "octave", *names).where("level IS NOT NULL")
-    quartiles = each.groupBy("level", "octave").agg(F.count("*").alias("n"), *(F.percentile_approx(c, [0.25, 0.75], 10_000).alias(c) for c in names)).where(F.col("n") >= SUPPORT)
+    # histograms in steps, counted in each task first; a quartile is the least step that a quarter (three quarters) do not exceed
+    step = lambda c: F.floor(F.col(c) * STEPS + 0.5).cast("int")
+    each = told.select(F.explode(levels).alias("level"), "octave", F.array(*map(step, names)).alias("steps")).where("level IS NOT NULL")
+    counts = each.select("level", "octave", F.posexplode("steps").alias("k", "step")).groupBy("level", "octave", "k", "step").agg(F.count("*").alias("n"))
+    group = Window.partitionBy("level", "octave", "k")
+    placed = counts.withColumn("upto", F.sum("n").over(group.orderBy("step"))).withColumn("all", F.sum("n").over(group)).where(F.col("all") >= SUPPORT)
+    quartile = lambda p: F.min(F.when(F.col("upto") >= F.ceil(F.col("all") * p), F.col("step"))) / STEPS
+    each = placed.groupBy("level", "octave", "k").agg(F.array(quartile(0.25), quartile(0.75)).alias("q"))
+    quartiles = each.groupBy("level", "octave").agg(*(F.first(F.when(F.col("k") == k, F.col("q")), True).alias(c) for k, c in enumerate(names)))
 
     def fence(name: str, upper: bool) -> Column:
         measure = name.rsplit("_", 1)[0]

@@ -560,7 +560,7 @@ def bands_brute(rows):
             octaves[key[0]].append(key[1])
             for k, c in enumerate(names):
                 values, m = sorted(f[k + 2] for f in found), c[:-2]
-                low, high = (values[math.ceil(p * len(values)) - 1] for p in (0.25, 0.75))
+                low, high = (math.floor(values[math.ceil(p * len(values)) - 1] * quality.STEPS + 0.5) / quality.STEPS for p in (0.25, 0.75))
                 spread = quality.REACH[m] * max(high - low, quality.LEAST_SPREAD[m])
                 fences[key, c] = low - spread, high + spread
 
