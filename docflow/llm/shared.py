@@ -89,6 +89,11 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd", **options:
     return found
 
 
+def is_table(df: DataFrame) -> bool:
+    """Whether df reads a table of `materialize` or `numbered`, as it was written."""
+    return hasattr(df, "_path")
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables of `materialize` and `numbered` that nothing will read again."""
     for df in tables:
