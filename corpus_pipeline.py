@@ -1,7 +1,11 @@
 """The corpus pipeline: quality rules, exact dedup, near-dedup, sanitisation, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on everything its predecessor kept; all but the last return the columns
-of documents. Between stages the rows are a Parquet table in the shared folder.
+of documents. Between stages the rows are a Parquet table in the shared folder, which goes once the next one stands.
+
+Defined results: nulls in any column, empty and very long texts, ties and repeated rows have the results that the stages'
+operators state; null and empty texts fail the quality rules, so they go first; an empty table gives no pieces; columns
+besides doc_id and text pass through to the last stage whatever their names, and may be missing.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docflow.llm import exact_dedup, near_dedup, packing, pii, quality
-from docflow.llm.shared import materialize
+from docflow.llm.shared import discard, is_table, materialize
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +31,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    length = F.length("text")
-    return pii.sanitise(docs).withColumn("n_chars", F.when(length != F.col("n_chars"), length.cast("long")).otherwise(F.col("n_chars")))
+    cleaned, length = pii.sanitise(docs), F.length("text")
+    if "n_chars" not in docs.columns:
+        return cleaned
+    return cleaned.withColumn("n_chars", F.when(length != F.col("n_chars"), length.cast("long")).otherwise(F.col("n_chars")))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,9 +55,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for number, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if number < len(STAGES) - 1:
-            docs = materialize(docs, f"pipeline-{number}")
+            docs = docs if is_table(docs) else materialize(docs, f"pipeline-{number}")
+            if before is not None:
+                discard(before)
+            before = docs
     return docs
