@@ -104,6 +104,13 @@ def pages_to_load(focus: DataFrame, known: DataFrame, key: str = "doc_id") -> Da
     return wanted.join(known.select(key, "page_index"), [key, "page_index"], "left_anti")
 
 
+def all_loaded(documents: DataFrame, known: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, loaded, complete: whether every page of a document(key, page_count) is known. A document without pages is never complete."""
+    pages = known.groupBy(key).agg(F.count_distinct("page_index").alias("loaded"))
+    found = documents.join(pages, key, "left").withColumn("loaded", F.coalesce("loaded", F.lit(0)).cast("long"))
+    return found.select(key, "loaded", ((F.col("page_count") > 0) & (F.col("loaded") >= F.col("page_count"))).alias("complete"))
+
+
 def throttled(events: DataFrame, key: str, ms: str, every: int = THROTTLE_MS) -> DataFrame:
     """The events that pass a throttle: one, then none until `every` ms have gone since it.
 

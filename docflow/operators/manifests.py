@@ -12,6 +12,16 @@ def _number(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, r"^\s*([+-]?[0-9]+)", 1), F.lit("")).try_cast("bigint")
 
 
+def normalized_pages(pages: Column) -> Column:
+    """Page numbers (array) as a list that `parse_page_range` reads; an empty array gives an empty text, a null one null."""
+    return F.array_join(F.transform(pages, lambda p: p.cast("string")), ",")
+
+
+def sheet_label(name: Column, index: Column) -> Column:
+    """The name of a group of pages, or "Sheet" and its number from 1 where it has none."""
+    return F.coalesce(name, F.concat(F.lit("Sheet "), (index + 1).cast("string")))
+
+
 def parse_page_range(spec: Column, pages: Column) -> Column:
     """Pages of a list such as "1,3,5-8", ascending without repeats; null if any part is bad or there is none."""
     parts = F.filter(F.transform(F.split(spec, ",", -1), lambda p: F.trim(p)), lambda p: p != "")

@@ -10,6 +10,7 @@ import math
 import re
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Characters that normalised search leaves out - white space and separators, and list markers.
@@ -145,6 +146,14 @@ def page_counts(matches: DataFrame, keys: list[str]) -> DataFrame:
     return matches.groupBy(*keys).agg(F.count("*").alias("n_matches"))
 
 
+def visible_highlights(matches: DataFrame, ranges: DataFrame, key: str = "doc_id", page: str = "page_index") -> DataFrame:
+    """The matches on pages in view, with rank (from 0 within the document's matches) and active. ranges: key, first_page, last_page, active_index."""
+    by = W.partitionBy(key).orderBy(page, "char_offset")
+    ranked = matches.withColumn("rank", (F.row_number().over(by) - 1).cast("long"))
+    seen = ranked.join(ranges, key).where(F.col(page).between(F.col("first_page"), F.col("last_page")))
+    return seen.withColumn("active", F.coalesce(F.col("rank") == F.col("active_index"), F.lit(False))).drop("first_page", "last_page", "active_index")
+
+
 def neighbours(index: Column, total: Column) -> tuple[Column, Column]:
     """Next and previous match, going round."""
     return F.pmod(index + 1, total), F.pmod(index - 1, total)

@@ -23,12 +23,14 @@ def numbered(items: DataFrame, numbers: DataFrame, levels: DataFrame, doc: str =
     """Counts and labels of list items. A count starts over when an item of a lesser level of the same list comes between.
 
     items: doc, order, num_id, ilvl; numbers: num_id, abstract_id; levels: abstract_id, ilvl, start, fmt, level_text.
-    Items whose list or level is not defined have no count and an empty label, and touch no other count.
+    Items whose list or level is not defined, or whose level is none of the LEVELS that lists have, have no count and an
+    empty label, and touch no other count.
     """
-    known = items.join(numbers, "num_id", "left").join(levels, ["abstract_id", "ilvl"], "left").withColumn("valid", F.col("fmt").isNotNull())
+    real = F.col("fmt").isNotNull() & F.col("ilvl").between(0, LEVELS - 1)
+    known = items.join(numbers, "num_id", "left").join(levels, ["abstract_id", "ilvl"], "left").withColumn("valid", F.coalesce(real, F.lit(False)))
     so_far = W.partitionBy(doc, "num_id").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     resets = F.array(*(F.sum((F.col("valid") & (F.col("ilvl") < level)).cast("int")).over(so_far) for level in range(LEVELS)))
-    within = known.withColumn("reset", F.element_at(resets, (F.col("ilvl") + 1).cast("int")))
+    within = known.withColumn("reset", F.when(F.col("valid"), F.try_element_at(resets, (F.col("ilvl") + 1).cast("int"))))
     group = W.partitionBy(doc, "num_id", "ilvl", "reset").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     count = F.when(F.col("valid"), F.greatest(F.col("start") - 1, F.lit(0)) + F.sum(F.col("valid").cast("int")).over(group)).cast("long")
     counted = within.withColumn("count", count)
@@ -39,16 +41,18 @@ def outline(headings: DataFrame, doc: str = "doc_id", order: str = "idx", level:
     """The headings with depth (from 0) and parent_idx. A heading goes at most one level below the one before it.
 
     Blank titles are left out. With i the heading's place, the effective level is i + min(least level, min over the
-    headings so far of level - place): a running minimum in place of a recursion.
+    headings so far of level - place): a running minimum in place of a recursion. The parent is the last heading one level
+    above: each heading stands at its own depth as a possible parent and at the one above as a child, so any depth will do.
     """
     some = headings.where(F.col(level).isNotNull() & (F.trim(title) != ""))
     by = W.partitionBy(doc).orderBy(order)
     placed = some.withColumn("__i", F.row_number().over(by) - 1).withColumn("__least", F.min(level).over(W.partitionBy(doc)))
     effective = F.col("__i") + F.least(F.col("__least"), F.min(F.col(level) - F.col("__i")).over(by.rowsBetween(W.unboundedPreceding, 0)))
     deep = placed.withColumn("depth", (effective - F.col("__least")).cast("long"))
-    before = by.rowsBetween(W.unboundedPreceding, -1)
-    last = F.array(*(F.last(F.when(F.col("depth") == d, F.col(order)), ignorenulls=True).over(before) for d in range(LEVELS)))
-    return deep.withColumn("parent_idx", F.when(F.col("depth") > 0, F.element_at(last, F.col("depth").cast("int")))).drop("__i", "__least")
+    entries = deep.withColumn("__at", F.explode(F.array("depth", F.col("depth") - 1)))
+    before = W.partitionBy(doc, "__at").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    parent = F.last(F.when(F.col("depth") == F.col("__at"), F.col(order)), ignorenulls=True).over(before)
+    return entries.withColumn("parent_idx", parent).where(F.col("__at") == F.col("depth") - 1).drop("__i", "__least", "__at")
 
 
 def inherited(styles: DataFrame, properties: list[str], doc: str = "doc_id", style: str = "style_id", base: str = "based_on") -> DataFrame:

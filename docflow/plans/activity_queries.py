@@ -180,3 +180,19 @@ def print_pages(spark, sf_dir):
     n = F.col("o_custkey") % 6 + 1
     requests = table(spark, sf_dir, "orders").select("o_orderkey", F.element_at(kinds, (F.col("o_orderkey") % 4 + 1).cast("int")).alias("kind"), n.alias("page_count"), (F.col("o_orderkey") % n + 1).alias("current"), F.lit(2).alias("from"), F.lit(4).alias("to"), F.array(*map(F.lit, (1, 3, 5, 7))).alias("pages"))
     return M.selected_pages(requests, "o_orderkey")
+
+
+@query(f"""WITH {EVENTS}, k AS (SELECT user_id, count(DISTINCT page) AS loaded FROM e WHERE event_type = 'view' AND page IS NOT NULL GROUP BY 1), d AS (SELECT DISTINCT user_id, user_id % 4 AS page_count FROM e)
+    SELECT user_id AS doc_id, coalesce(loaded, 0) AS loaded, page_count > 0 AND coalesce(loaded, 0) >= page_count AS complete FROM d LEFT JOIN k USING (user_id)""")
+def all_pages_loaded(spark, sf_dir):
+    log = events(spark, sf_dir)
+    documents = log.select(F.col("user_id").alias("doc_id"), (F.col("user_id") % 4).alias("page_count")).distinct()
+    return A.all_loaded(documents, log.where("event_type = 'view'").select(F.col("user_id").alias("doc_id"), F.col("page").alias("page_index")))
+
+
+@query("""SELECT l_orderkey, string_agg(CAST(l_linenumber AS VARCHAR), ',' ORDER BY l_linenumber) AS pages, coalesce(CASE WHEN l_orderkey % 3 = 0 THEN NULL ELSE 'group ' || l_orderkey END, 'Sheet ' || (l_orderkey % 7 + 1)) AS label
+    FROM lineitem GROUP BY l_orderkey""")
+def pages_and_sheet_labels(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_linenumber")).alias("numbers"))
+    name = F.when(F.col("l_orderkey") % 3 != 0, F.concat(F.lit("group "), F.col("l_orderkey").cast("string")))
+    return lines.select("l_orderkey", M.normalized_pages(F.col("numbers")).alias("pages"), M.sheet_label(name, F.col("l_orderkey") % 7).alias("label"))

@@ -114,3 +114,11 @@ def match_rects(spark, sf_dir):
     glyphs = F.transform(place, lambda p: F.struct((F.lit(10.0) * (p % 80)).alias("x"), (F.lit(20.0) * line(p)).alias("y"), F.lit(10.0).alias("advance"), F.lit(12.0).alias("font_size"), F.lit(0.0).alias("angle")))
     boxes = found.select("doc_id", "page_index", "char_offset", F.explode(S.match_rects(glyphs)).alias("r"))
     return boxes.select("doc_id", "page_index", "char_offset", F.round((F.col("r.y") + 9.6) / 20).cast("int").alias("line"), *(F.round(f"r.{c}", 6).alias(c) for c in ("x", "y", "width", "height")))
+
+
+@query(f"""WITH {_hits('the')}, r AS (SELECT {_OUT}, row_number() OVER (PARTITION BY doc_id ORDER BY page_index, char_offset) - 1 AS rank FROM hits)
+    SELECT doc_id, page_index, char_offset, 3 AS length, rank, rank = doc_id % 5 AS active FROM r WHERE page_index BETWEEN doc_id % 2 AND doc_id % 2 + 2""")
+def visible_highlights(spark, sf_dir):
+    first = F.col("doc_id") % 2
+    ranges = pages(spark, sf_dir).select("doc_id").distinct().select("doc_id", first.alias("first_page"), (first + 2).alias("last_page"), (F.col("doc_id") % 5).alias("active_index"))
+    return S.visible_highlights(search_exact(spark, sf_dir), ranges)

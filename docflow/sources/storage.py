@@ -13,9 +13,11 @@ _CHOSEN: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where it is unset (tests on one machine) a local folder is chosen."""
+    """spark.checkpoint.dir of the session; where it is unset and all runs on one machine, a local folder is chosen."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         application = spark.sparkContext.applicationId
         if application not in _CHOSEN:
             _CHOSEN[application] = tempfile.mkdtemp(prefix="docflow-")

@@ -114,3 +114,14 @@ def test_labels(spark):
     df = spark.createDataFrame([(4,), (1999,), (0,), (257,)], "n int")
     assert [r[0] for r in df.select(B.roman(F.col("n"), True)).collect()] == ["IV", "MCMXCIX", "0", "CCLVII"]
     assert df.select(B.letter(F.col("n"))).collect()[3][0] == "a"
+
+
+def test_levels_beyond(spark):
+    """Levels that lists do not have get no label and do not fail; an outline may be of any depth."""
+    items = spark.createDataFrame([(1, i, 1, v) for i, v in enumerate([0, 9, -1, 0, None, 40])], "doc_id int, idx int, num_id int, ilvl int")
+    levels = spark.createDataFrame([(1, v, 1, "decimal", "%1.") for v in (0, 9, -1)], "abstract_id int, ilvl int, start int, fmt string, level_text string")
+    got = {r.idx: (r["count"], r.label) for r in S.numbered(items, spark.createDataFrame([(1, 1)], "num_id int, abstract_id int"), levels).collect()}
+    assert got == {0: (1, "1. "), 1: (None, ""), 2: (None, ""), 3: (2, "2. "), 4: (None, ""), 5: (None, "")}
+    deep = spark.createDataFrame([(1, i, i, "t") for i in range(30)] + [(1, 30, 12, "t"), (1, 31, 0, "t")], "doc_id int, idx int, level int, title string")
+    found = {r.idx: (r.depth, r.parent_idx) for r in S.outline(deep).collect()}
+    assert found == {**{i: (i, i - 1 if i else None) for i in range(30)}, 30: (12, 11), 31: (0, None)}
