@@ -70,8 +70,12 @@ def located(frame: DataFrame, row: str = ROW) -> DataFrame:
 
 
 def at_rows(table: DataFrame, facts: DataFrame, how: str, keys: tuple[str, ...] = (BLOCK, ROW)) -> DataFrame:
-    """A numbered table joined to facts about rows (or other keys within blocks). Run inside `by_block`, only the facts are shuffled."""
-    return table.join(facts.hint("shuffle_hash"), list(keys), how)
+    """A numbered table joined to facts about rows (or other keys within blocks). Run inside `by_block`, only the facts are shuffled.
+
+    The facts are dealt by block whatever they come from: those that were grouped by row would keep their partitioning, and
+    where it has more partitions than the table has buckets, the table would be shuffled to it.
+    """
+    return table.join(facts.repartition(BLOCK).hint("shuffle_hash"), list(keys), how)
 
 
 def by_block(spark: SparkSession):

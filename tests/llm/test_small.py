@@ -786,3 +786,19 @@ def test_oracles(spark, same_rows, name):
 def test_names():
     numbers = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in catalog.QUERIES)
     assert numbers == list(range(1, 11)) and json.dumps(sorted(catalog.ORACLES))
+
+
+def test_at_rows_moves_the_facts_only(spark):
+    """Also where the facts were grouped by row, in more partitions than the table has buckets."""
+    table = shared.numbered(spark.range(2000).selectExpr("id", "cast(id AS string) AS text"), "at-rows")
+    some = table.where("id % 3 = 0").select(F.col(shared.ROW).alias("node"))
+    rows = shared.materialize(some.unionByName(some), "at-facts")
+    partitions = str(table._buckets * 2 + 3)
+    with shared.settings(spark, spark__sql__shuffle__partitions=partitions, spark__sql__adaptive__enabled="false", spark__sql__autoBroadcastJoinThreshold="-1"), shared.by_block(spark):
+        for facts in (rows.select("node").distinct(), rows.join(rows.groupBy("node").count(), "node")):
+            found = shared.at_rows(table, shared.located(facts, "node"), "left_semi")
+            plan = found._jdf.queryExecution().executedPlan().toString().splitlines()
+            below = plan[next(i for i, line in enumerate(plan) if "ShuffledHashJoin" in line) + 1 :]
+            assert "Scan" in next(line for line in below if "Scan" in line or "Exchange" in line)
+            assert found.count() == 667
+    shared.discard(table, rows)
