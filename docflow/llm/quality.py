@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import itertools
 from collections import Counter
+from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
@@ -98,14 +99,14 @@ class Fertility:
         self.index: dict[bytes, int] = {}
         self.pool, self.offsets = np.empty(0, np.int32), np.zeros(1, np.int64)
 
-    def learn(self, words: set[bytes]) -> None:
+    def learn(self, words: Iterable[bytes]) -> None:
         """Adds the words that are not known yet, all at once."""
         if len(self.index) > CACHE_WORDS:
             self.forget()
         new = [w for w in words if w not in self.index]
         if not new:
             return
-        found = self.encode([w.decode("utf-8", "surrogatepass") for w in new])
+        found = self.encode(b" ".join(new).decode("utf-8", "surrogatepass").split(" "))
         self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
         self.pool = np.concatenate([self.pool, np.fromiter(itertools.chain.from_iterable(found), np.int32)])
         self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))])
@@ -150,26 +151,32 @@ def repeated_words(numbers: np.ndarray) -> int:
 
 
 def measured_all(texts: list[str], vocabularies: list[Fertility]) -> list[tuple]:
-    """The measures of each text of a batch."""
+    """The measures of each text of a batch. A word of the batch is looked up once, whatever the number of vocabularies; these see distinct words only."""
     split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-    words = set(itertools.chain.from_iterable(split))
+    words = list(set(itertools.chain.from_iterable(split)))
+    index = dict(zip(words, range(len(words))))
+    ends = np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))
+    numbers = np.fromiter(map(index.__getitem__, itertools.chain.from_iterable(split)), np.int64, ends[-1] if len(ends) else 0)
+    known = []
     for vocabulary in vocabularies:
         vocabulary.learn(words)
-    return [_measured(t, w, vocabularies) for t, w in zip(texts, split)]
+        known.append((vocabulary, vocabulary.words(words)))
+    return [_measured(t, numbers[end - len(w) : end], known) for t, w, end in zip(texts, split, ends.tolist())]
 
 
-def _measured(text: str, words: list[bytes], vocabularies: list[Fertility]) -> tuple:
-    n = len(words)
+def _measured(text: str, numbers: np.ndarray, known: list[tuple[Fertility, np.ndarray]]) -> tuple:
+    """The measures of a text. numbers: its words, by their places in the batch's distinct words; known: each vocabulary's numbers of those."""
+    n = len(numbers)
     if not n:
-        return 0, 0, 0, 0, 0, True, "other", *(0, None, None, None) * len(vocabularies)
+        return 0, 0, 0, 0, 0, True, "other", *(0, None, None, None) * len(known)
     raw = text.encode("utf-8", "surrogatepass")
     word_chars = len(text) - (len(raw) - len(raw.translate(None, SPACES)))
     n_symbols = len(raw) - len(raw.translate(None, SYMBOLS))
     duplicates = sum(k - 1 for line, k in Counter(text.split("\n")).items() if k > 1 and line.encode("utf-8", "surrogatepass").split())
-    repeated = repeated_words(vocabularies[0].words(words))
+    repeated = repeated_words(numbers)
     found = []
-    for vocabulary in vocabularies:
-        tokens = vocabulary.tokens(vocabulary.words(words))
+    for vocabulary, own in known:
+        tokens = vocabulary.tokens(own[numbers])
         if not len(tokens):
             found += [0, None, None, None]
             continue
