@@ -9,7 +9,7 @@ that of the whole corpus, and where there is none, the script's fixed limits.
 The base rules (too few words, too many repeated three-word windows) come first.
 
 The first pass goes through the texts, with a bounded cache of words' tokens, and writes narrow rows (or, in `keep`, the
-documents with their measures); quartiles come from histograms in steps of a thousandth, combined in each task; the bands
+documents with their measures); quartiles come from histograms in steps of a thousandth, combined in each task and read by parts; the bands
 are one row for each language and octave, joined back. Texts are not shuffled.
 
 Defined results: null and empty texts have no words and fail the base rules; a text without tokens is not measured; texts
@@ -42,6 +42,8 @@ MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 SUPPORT = 30
 #: Steps of the histograms to 1 (a bit, a character, the whole share).
 STEPS = 1000
+#: Steps of a part of a histogram.
+PART = 64
 #: The last octave of token numbers that has a band.
 OCTAVES = 40
 #: Fences: how many distances between the quartiles lie beyond them, and the least distance that is counted, so that many near copies cannot close a band.
@@ -210,7 +212,7 @@ def _octave(prefix: str = "") -> Column:
 
 
 def bands(rows: DataFrame, vocabularies: int) -> DataFrame:
-    """level (a language "l:en", a script "s:latin", or "*"), octave, band (the fences of each measure: least_*, most_*). rows: lang and measures."""
+    """A table: level (a language "l:en", a script "s:latin", or "*"), octave, band (the fences of each measure: least_*, most_*). rows: lang and measures."""
     names = [f"{m}_{k + 1}" for k in range(vocabularies) for m in REACH]
     told = rows.where(~F.col("base_failed") & (F.col("n_tokens_1") > 0)).select("lang", "script", _octave().alias("octave"), *names).distinct()
     levels = F.array(F.concat(F.lit("l:"), F.lower("lang")), F.concat(F.lit("s:"), "script"), F.lit("*"))
@@ -218,11 +220,15 @@ def bands(rows: DataFrame, vocabularies: int) -> DataFrame:
     step = lambda c: F.floor(F.col(c) * STEPS + 0.5).cast("int")
     each = told.select(F.explode(levels).alias("level"), "octave", F.array(*map(step, names)).alias("steps")).where("level IS NOT NULL")
     counts = each.select("level", "octave", F.posexplode("steps").alias("k", "step")).groupBy("level", "octave", "k", "step").agg(F.count("*").alias("n"))
-    group = Window.partitionBy("level", "octave", "k")
-    placed = counts.withColumn("upto", F.sum("n").over(group.orderBy("step"))).withColumn("all", F.sum("n").over(group)).where(F.col("all") >= SUPPORT)
-    quartile = lambda p: F.min(F.when(F.col("upto") >= F.ceil(F.col("all") * p), F.col("step"))) / STEPS
-    each = placed.groupBy("level", "octave", "k").agg(F.array(quartile(0.25), quartile(0.75)).alias("q"))
-    quartiles = each.groupBy("level", "octave").agg(*(F.first(F.when(F.col("k") == k, F.col("q")), True).alias(c) for k, c in enumerate(names)))
+    histogram = materialize(counts.withColumn("part", F.floor(F.col("step") / PART).cast("int")), "quality-histogram")
+    # the part of the histogram that holds a quartile first, then the step within that part: no task reads a whole histogram
+    group, within = Window.partitionBy("level", "octave", "k"), Window.partitionBy("level", "octave", "k", "part", "quarter")
+    parts = histogram.groupBy("level", "octave", "k", "part").agg(F.sum("n").alias("n")).withColumn("upto", F.sum("n").over(group.orderBy("part"))).withColumn("all", F.sum("n").over(group))
+    ranks = parts.where(F.col("all") >= SUPPORT).withColumn("quarter", F.explode(F.array(F.lit(1), F.lit(3)))).withColumn("rank", F.ceil(F.col("all") * F.col("quarter") / 4))
+    places = ranks.where((F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("n"))).select("level", "octave", "k", "part", "quarter", (F.col("rank") - F.col("upto") + F.col("n")).alias("rank"))
+    steps = histogram.join(places, ["level", "octave", "k", "part"]).withColumn("upto", F.sum("n").over(within.orderBy("step")))
+    least = lambda k, quarter: F.min(F.when((F.col("k") == k) & (F.col("quarter") == quarter) & (F.col("upto") >= F.col("rank")), F.col("step"))) / STEPS
+    quartiles = steps.groupBy("level", "octave").agg(*(F.array(least(k, 1), least(k, 3)).alias(c) for k, c in enumerate(names)))
 
     def fence(name: str, upper: bool) -> Column:
         measure = name.rsplit("_", 1)[0]
@@ -232,7 +238,9 @@ def bands(rows: DataFrame, vocabularies: int) -> DataFrame:
     own = quartiles.select("level", "octave", F.struct(*(fence(c, False).alias(f"least_{c}") for c in names), *(fence(c, True).alias(f"most_{c}") for c in names)).alias("band"))
     every = own.select("level").distinct().select("level", F.explode(F.sequence(F.lit(0), F.lit(OCTAVES))).alias("octave"))
     shorter = Window.partitionBy("level").orderBy("octave")  # one row for each octave
-    return every.join(own, ["level", "octave"], "left").select("level", "octave", F.last("band", True).over(shorter).alias("band")).where("band IS NOT NULL")
+    found = materialize(every.join(own, ["level", "octave"], "left").select("level", "octave", F.last("band", True).over(shorter).alias("band")).where("band IS NOT NULL"), "quality-bands")
+    discard(histogram)
+    return found
 
 
 def judged(rows: DataFrame, fences: DataFrame, vocabularies: int, prefix: str = "", lang: str = "lang") -> DataFrame:
@@ -265,7 +273,7 @@ def measure(docs: DataFrame, vocabulary_paths: list[str], text: str = "text", do
     n = len(vocabulary_paths)
     rows = docs.select(id_of(doc_id).alias("doc_id"), _language(docs, lang).alias("lang"), text_of(text).alias("text"))
     rows = materialize(measured(rows, vocabulary_paths, "text", carried=["doc_id", "lang"]), "quality-measures")
-    fences = materialize(bands(rows, n), "quality-bands")
+    fences = bands(rows, n)
     names = measures_of(n).names
     return judged(rows, fences, n).select("doc_id", *names[:6], F.col("__kept").alias("kept"), *names[6:])
 
@@ -275,7 +283,7 @@ def keep(docs: DataFrame, vocabulary_paths: list[str], text: str = "text", lang:
     n = len(vocabulary_paths)
     rows = materialize(measured(docs.withColumn("__lang", _language(docs, lang)), vocabulary_paths, text, "__"), "quality-rows")
     narrow = rows.select(F.col("__lang").alias("lang"), *(F.col(f"__{c}").alias(c) for c in measures_of(n).names))
-    fences = materialize(bands(narrow, n), "quality-bands")
+    fences = bands(narrow, n)
     result = materialize(judged(rows, fences, n, "__", "__lang").where("__kept").select(docs.columns), "quality-kept")
     discard(rows, fences)
     return result
