@@ -31,7 +31,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cleaned, length = pii.sanitise(docs), F.length("text")
+    cleaned, length = pii.sanitise(docs, each_copy=True), F.length("text")
     if "n_chars" not in docs.columns:
         return cleaned
     return cleaned.withColumn("n_chars", F.when(length != F.col("n_chars"), length.cast("long")).otherwise(F.col("n_chars")))

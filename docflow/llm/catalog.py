@@ -34,7 +34,7 @@ def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docflow.llm import pii
 
-    return pii.spans_of(_documents(spark, sf_dir))
+    return pii.spans_of(_documents(spark, sf_dir), each_copy=True)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,9 @@ whose mutual information reaches `alpha` times that information discloses the en
 class) at all its places in the documents that name the entity, along with the base spans. Documents that only hold the
 term stay as they are: they name no entity that it could disclose, and each of them lowers its information. Every pair that occurs is judged, however rare:
 counts are smoothed by half a document, so an entity of one document has its rare terms masked (those of up to about
-n ** (1 - alpha) documents). n_ct counts a text that was copied once, so that copies show little. A caller that wants a
+n ** (1 - alpha) documents). With `each_copy` n_ct counts every document, as n_c and n_t do: a text that was copied has
+its pairs judged as if it stood once, so no pair that reaches the threshold is left out; op4_pii and the pipeline do so.
+Without it n_ct counts a text once, so that copies show little, and pairs seen in copies only stay. A caller that wants a
 hard minimum instead gives `min_contexts`: as many different windows of WINDOW code points around mentions, and as many
 documents, must show the pair; counts are not smoothed, and terms are masked in these windows only.
 
@@ -140,7 +142,7 @@ def terms_located(text: Column, terms: Column) -> Column:
     return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int>>").alias("out")), step, lambda a: a["out"])
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, text: str = "text", alpha: float = ALPHA, min_contexts: int | None = None, n_docs: int | None = None) -> DataFrame:
+def disclosing_terms(docs: DataFrame, found: DataFrame, text: str = "text", alpha: float = ALPHA, min_contexts: int | None = None, n_docs: int | None = None, each_copy: bool = False) -> DataFrame:
     """text_key, terms array<struct<start, kind, end>>: the terms to mask in each text that has base spans. n_docs: if found holds those texts only."""
     n_docs = found.count() if n_docs is None else n_docs
     if min_contexts is not None:
@@ -150,14 +152,14 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, text: str = "text", alph
     n = F.lit(n_docs + 1.0)
     own = F.log2(n / (F.col("n_c") + 0.5))
     bound = F.log2(n / (F.col("n_t") + 0.5))
-    texts = found.where("text_key IS NOT NULL").groupBy("text_key").agg(F.first("base").alias("base"), F.first("text").alias("text"))
-    texts = materialize(texts.select("text_key", "text", F.array_distinct(F.transform("base", _entity)).alias("entities")), "pii-texts")
-    named = texts.select("text_key", F.explode("entities").alias("entity")).join(entities, "entity").where(own > 0)
+    texts = found.where("text_key IS NOT NULL").groupBy("text_key").agg(F.first("base").alias("base"), F.first("text").alias("text"), (F.count("*") if each_copy else F.lit(1).cast("long")).alias("n_rows"))
+    texts = materialize(texts.select("text_key", "n_rows", "text", F.array_distinct(F.transform("base", _entity)).alias("entities")), "pii-texts")
+    named = texts.select("text_key", "n_rows", F.explode("entities").alias("entity")).join(entities, "entity").where(own > 0)
     named = materialize(named, "pii-named")
     least = named.groupBy("text_key").agg((alpha * F.min(own)).alias("least"))
     rare = texts.select("text_key", F.explode(_terms_of(F.col("text"))).alias("term")).join(terms, "term").join(least, "text_key").where(bound >= F.col("least"))
-    pairs = materialize(rare.select("text_key", "term", "n_t").join(named, "text_key").where(bound >= alpha * own).select("text_key", "entity", "term", "n_c", "n_t"), "pii-pairs")
-    shown = pairs.groupBy("entity", "term", "n_c", "n_t").agg(F.count("*").alias("n_ct"))
+    pairs = materialize(rare.select("text_key", "term", "n_t").join(named, "text_key").where(bound >= alpha * own).select("text_key", "n_rows", "entity", "term", "n_c", "n_t"), "pii-pairs")
+    shown = pairs.groupBy("entity", "term", "n_c", "n_t").agg(F.sum("n_rows").alias("n_ct"))
     disclosing = shown.where(F.log2((F.col("n_ct") + 0.5) * n / ((F.col("n_c") + 0.5) * (F.col("n_t") + 0.5))) >= alpha * own).select("entity", "term")
     sets = pairs.join(disclosing, ["entity", "term"]).groupBy("text_key").agg(F.collect_set("term").alias("held"))
     return texts.join(sets, "text_key").select("text_key", terms_located(F.col("text"), F.col("held")).alias("terms"))
@@ -182,10 +184,10 @@ def _plain(spans: Column) -> Column:
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
 
 
-def spans_of(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", alpha: float = ALPHA, min_contexts: int | None = None) -> DataFrame:
+def spans_of(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", alpha: float = ALPHA, min_contexts: int | None = None, each_copy: bool = False) -> DataFrame:
     """Per row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (all, listed as kind:start:end), n_term."""
     found = detected(docs, text, doc_id)
-    terms = disclosing_terms(docs, found, text, alpha, min_contexts)
+    terms = disclosing_terms(docs, found, text, alpha, min_contexts, each_copy=each_copy)
     number = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}")
     clean, some = found.where("text_key IS NULL").withColumn("terms", F.array().cast("array<struct<start:int,kind:int,end:int>>")), found.where("text_key IS NOT NULL")
     both = clean.select("doc_id", "base", "terms").unionByName(some.join(terms, "text_key", "left").select("doc_id", "base", "terms"))
@@ -205,13 +207,13 @@ def masked_text(text: Column, spans: Column) -> Column:
     return F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
 
 
-def sanitise(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", alpha: float = ALPHA, min_contexts: int | None = None) -> DataFrame:
+def sanitise(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", alpha: float = ALPHA, min_contexts: int | None = None, each_copy: bool = False) -> DataFrame:
     """docs with base spans and disclosing terms masked in the text; the columns of docs. Patterns are looked for once; terms are sent to the rows' blocks, no text is moved for it."""
     some = F.size("__base") > 0
     table = numbered(docs.withColumn("__base", base_spans(text_of(text))), "pii-rows")
     held = table.where(some).select(F.col(ROW).alias("row"), F.sha2(text_of(text), 256).alias("text_key"), F.col("__base").alias("base"), text_of(text).alias("text"))
     found = materialize(held, "pii-base")
-    terms = disclosing_terms(docs, found, text, alpha, min_contexts, table.select(BLOCK).count())
+    terms = disclosing_terms(docs, found, text, alpha, min_contexts, table.select(BLOCK).count(), each_copy)
     facts = located_rows(found.select(F.col("row").alias(ROW), "text_key").join(terms.select("text_key", F.col("terms").alias("__terms")), "text_key").drop("text_key"))
     every = F.array_sort(F.concat(_plain(F.col("__base")), F.coalesce("__terms", F.array().cast("array<struct<start:int,kind:int,end:int>>"))))
     masked = F.when(F.size("__base") > 0, masked_text(F.col(text), every)).otherwise(F.col(text)).alias(text)

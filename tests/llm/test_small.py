@@ -16,6 +16,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from docflow.llm import bpe, catalog, components, exact_dedup, licences, lm_score, near_dedup, packing, pii, quality, sharding, shared, token_counts
 
 MULTI, RANKS, PIECES = (public_tokenizers.path(n) for n in ("byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"))
@@ -406,6 +407,51 @@ def test_op4_spans(spark, alpha, least):
     assert got == want and any("term" in s for _, s in want)
 
 
+def disclosed_brute(rows, alpha):
+    """All spans of each row: terms of documents that name an entity, by counts of documents, copies included."""
+    term = regex.compile(pii.TERM)
+    held = []
+    for _, text in rows:
+        text = text or ""
+        spans = base_spans(text)
+        values = ((rank, text[a:b], kind) for a, rank, b, kind in spans)
+        named = {(rank, v.lower() if kind == "email" else v if kind == "ip" else re.sub("[^0-9]", "", v)) for rank, v, kind in values}
+        held.append((spans, named, [(m.start(), m.end(), m.group().lower()) for m in term.finditer(text)]))
+    n = len(rows) + 1
+    n_c = Counter(c for _, named, _ in held for c in named)
+    n_t = Counter(t for _, _, terms in held for t in {t for *_, t in terms})
+    n_ct = Counter((c, t) for _, named, terms in held for t in {t for *_, t in terms} for c in named)
+    found = {(c, t) for (c, t), k in n_ct.items() if math.log2((k + 0.5) * n / ((n_c[c] + 0.5) * (n_t[t] + 0.5))) >= alpha * math.log2(n / (n_c[c] + 0.5))}
+    for (doc_id, _), (spans, named, terms) in zip(rows, held):
+        every = sorted([*spans, *((a, 4, b, "term") for a, b, t in terms if any((c, t) in found for c in named))])
+        yield doc_id, ",".join(f"{kind}:{a}:{b}" for a, _, b, kind in every)
+
+
+@pytest.mark.parametrize("alpha", [0.9, 0.5])
+def test_op4_copies(spark, tmp_path, alpha):
+    """A pair that reaches the threshold is masked in texts that were copied, too: no pair of the brute-force version is missed."""
+    rnd = random.Random(12)
+    values = [*(f"m{i}@b.org" for i in range(9)), "10.0.0.1", "4111 1111 1111 1111", "+1 (743) 555-3824"]
+    rows = []
+    for i in range(150):
+        words = [rnd.choice(["the", "and", "with", "From", "Über", "mot-clé"]) + rnd.choice(["", ",", "."]) for _ in range(rnd.randrange(30))]
+        for _ in range(rnd.choice([0, 0, 1, 2])):
+            v = rnd.randrange(len(values))
+            at = rnd.randrange(len(words) + 1)
+            words[at:at] = [f"Name{chr(97 + v)}", values[v], f"Other{chr(97 + i % 20)}"]
+        rows += [(10 * i + k, " ".join(words)) for k in range(rnd.choice([1, 1, 2, 7]))]
+    rows += [(5000 + i, "a Copied secret@ex.org") for i in range(9)] + [(6000, None), (6001, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = dict(disclosed_brute(rows, alpha))
+    assert {r.doc_id: r.spans for r in pii.spans_of(docs, alpha=alpha, each_copy=True).collect()} == want
+    assert all(want[5000 + i] == "term:2:8,email:9:22" for i in range(9))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    if alpha == pii.ALPHA:
+        assert {r.doc_id: r.spans for r in catalog.op4_pii(spark, str(tmp_path)).collect()} == want
+        masked = {r.doc_id: r.text for r in corpus_pipeline.personal_data(spark, docs, "").collect()}
+        assert all(masked[5000 + i] == "a [TERM] [EMAIL]" for i in range(9))
+
+
 # 5 ---------------------------------------------------------------------------------------------------------------
 
 
